@@ -13,13 +13,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of text that callers hold at once, besides a single longer text.
-SLICE = 4 << 20
+SLICE = 2 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
+#: Alone a separator of lines.
+NEWLINE = np.zeros(256, dtype=bool)
+NEWLINE[10] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,12 +53,25 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     _, offsets, data = texts.buffers()
-    off = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    off = np.frombuffer(offsets, dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
+def flags(*values: int) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(values)] = True
+    return out
+
+
+def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """True bytes of each text; mask begins at the first text."""
+    sums = np.concatenate(([0], np.cumsum(mask)))
+    return np.diff(sums[offsets - offsets[0]])
+
+
 def slices(lengths: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Runs of rows whose lengths add up to about most; a longer row is alone."""
     at, total = 0, 0
@@ -68,35 +84,35 @@ def slices(lengths: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int]]:
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
         to = min(at + CHUNK, end)
         if to < end:
             inside = np.searchsorted(offsets, to, "right") - 1
             boundary = int(offsets[inside])
-            gaps = np.flatnonzero(_SEP[data[max(at, boundary) : to]])
+            gaps = np.flatnonzero(sep[data[max(at, boundary) : to]])
             if len(gaps):
                 to = max(at, boundary) + int(gaps[-1]) + 1
             elif boundary > at:
                 to = boundary
             else:  # one word longer than a chunk
                 stop = int(offsets[inside + 1])
-                while to < stop and not _SEP[data[to]]:
+                while to < stop and not sep[data[to]]:
                     to = min(stop, to + 1)
         yield at, to
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, bounds of each text among the words, first byte, byte length of each word)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, bounds of each text among the words, first byte, byte length of each word); words end at bytes in sep."""
     table = _LOWER if lower else _TABLE
     hashes, starts, sizes = [], [], []
-    for s, e in _cuts(data, offsets):
+    for s, e in _cuts(data, offsets, sep):
         b = data[s:e]
         n = e - s
         up, down = _powers(n)
-        word = ~_SEP[b]
+        word = ~sep[b]
         edge = np.ones(n + 1, dtype=bool)
         edge[1:n] = ~word[:-1]
         inner = offsets[np.searchsorted(offsets, s, "right") : np.searchsorted(offsets, e, "left")] - s
