@@ -31,7 +31,7 @@ BASE = (
 )
 KINDS = ("assign", "access", "hex", "crf")
 #: Bounds of the training sample: documents of each sort, tokens on each side of a window's centre, windows of a document.
-TRAIN_DOCS, AROUND, WINDOWS = 1200, 20, 4
+TRAIN_DOCS, AROUND, WINDOWS = 1000, 16, 4
 #: Words that stand near secrets, as a fixed list.
 KEYWORDS = frozenset("password passwd pwd secret token key apikey api_key api access auth authorization bearer credential credentials private client id".split())
 WEIGHTS = 1 << 12
@@ -165,59 +165,71 @@ class Field:
         return [(s, e, "crf") for s, e in out]
 
 
-def train(windows: list[tuple[list[str], list[int], tuple]], rounds: int = 100, penalty: float = 2e-4) -> Field:
-    """Maximum likelihood by full-batch Adam; windows: (tokens, tags, file kind)."""
+def train(windows: list[tuple[list[str], list[int], tuple]], rounds: int = 12, batch: int = 256, penalty: float = 1e-4) -> Field:
+    """Maximum likelihood by Adam over shuffled batches; windows: (tokens, tags, file kind)."""
     weights, moves = np.zeros((WEIGHTS, 3)), np.zeros((3, 3))
     if not windows:
         return Field(weights, moves)
+    width = 16
+    edge = features(("line",))
+    known: dict[str, tuple] = {"\n": edge}
+
+    def look(token: str) -> tuple:
+        if token not in known:
+            known[token] = features(shape(token))
+        return known[token]
+
     length = max(len(w[0]) for w in windows)
-    n, width = len(windows), 16
-    x = np.zeros((n, length, width), dtype=np.int64)
-    y = np.zeros((n, length), dtype=np.int64)
-    real = np.zeros((n, length), dtype=bool)
+    x = np.zeros((len(windows), length, width), dtype=np.int32)
+    y = np.zeros((len(windows), length), dtype=np.int64)
+    real = np.zeros((len(windows), length), dtype=bool)
     for i, (tokens, tags, kind) in enumerate(windows):
-        each = [features(("line",) if t == "\n" else shape(t)) for t in tokens]
-        edge = features(("line",))
+        each = [edge, *map(look, tokens), edge]
         for j, tag in enumerate(tags):
-            own, before, after = each[j][0], (each[j - 1] if j else edge)[1], (each[j + 1] if j + 1 < len(each) else edge)[2]
-            row = [*own, *before, *after, _hash("file", *kind)][:width]
+            row = [*each[j + 1][0], *each[j][1], *each[j + 2][2], _hash("file", *kind)][-width:]
             x[i, j, : len(row)] = row
             y[i, j], real[i, j] = tag, True
-    params, first, second = np.concatenate((weights.ravel(), moves.ravel())), 0.0, 0.0
-    for step in range(1, rounds + 1):
-        weights, moves = params[:-9].reshape(WEIGHTS, 3), params[-9:].reshape(3, 3)
-        e = weights[x].sum(axis=2)
-        alpha, beta = np.zeros((length, n, 3)), np.zeros((length, n, 3))
-        alpha[0] = e[:, 0] + moves[0]
-        for j in range(1, length):
-            new = np.logaddexp.reduce(alpha[j - 1][:, :, None] + moves, axis=1) + e[:, j]
-            alpha[j] = np.where(real[:, j, None], new, alpha[j - 1])
-        total = np.logaddexp.reduce(alpha[-1], axis=1)
-        for j in range(length - 2, -1, -1):
-            new = np.logaddexp.reduce(moves[None] + (e[:, j + 1] + beta[j + 1])[:, None, :], axis=2)
-            beta[j] = np.where(real[:, j + 1, None], new, 0)
-        marginal = np.exp(alpha.transpose(1, 0, 2) + beta.transpose(1, 0, 2) - total[:, None, None]) * real[:, :, None]
-        marginal[np.arange(n)[:, None], np.arange(length)[None], y] -= real
-        grad = np.zeros((WEIGHTS, 3))
-        flat = x.reshape(-1, width)
-        for k in range(3):
-            grad[:, k] = np.bincount(flat.ravel(), np.repeat(marginal[:, :, k].ravel(), width), WEIGHTS)
-        grad[0] = 0
-        turn = np.zeros((3, 3))
-        for j in range(length):
-            live = real[:, j]
-            if j:
-                pair = np.exp(alpha[j - 1][live][:, :, None] + moves + (e[live, j] + beta[j][live])[:, None, :] - total[live][:, None, None]).sum(axis=0)
-                np.add.at(pair, (y[live, j - 1], y[live, j]), -1)
-                turn += pair
-            else:
-                turn[0] += marginal[:, 0].sum(axis=0)
-        g = np.concatenate((grad.ravel(), turn.ravel())) / n + penalty * params
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        params = params - 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    params, first, second, step = np.zeros(WEIGHTS * 3 + 9), 0.0, 0.0, 0
+    order = np.random.default_rng(7)
+    for _ in range(rounds):
+        turn = order.permutation(len(windows))
+        for at in range(0, len(turn), batch):
+            pick = turn[at : at + batch]
+            step += 1
+            g = _gradient(params, x[pick], y[pick], real[pick]) / len(pick) + penalty * params
+            first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+            params = params - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return Field(params[:-9].reshape(WEIGHTS, 3).copy(), params[-9:].reshape(3, 3).copy())
 
 
+def _gradient(params: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Of the negative log likelihood of a batch, by forward and backward sums; moves[0] also starts a window."""
+    weights, moves = params[:-9].reshape(WEIGHTS, 3), params[-9:].reshape(3, 3)
+    n, length, width = x.shape
+    e = weights[x].sum(axis=2)
+    alpha, beta = np.zeros((length, n, 3)), np.zeros((length, n, 3))
+    alpha[0] = e[:, 0] + moves[0]
+    for j in range(1, length):
+        new = np.logaddexp.reduce(alpha[j - 1][:, :, None] + moves, axis=1) + e[:, j]
+        alpha[j] = np.where(real[:, j, None], new, alpha[j - 1])
+    total = np.logaddexp.reduce(alpha[-1], axis=1)
+    for j in range(length - 2, -1, -1):
+        new = np.logaddexp.reduce(moves[None] + (e[:, j + 1] + beta[j + 1])[:, None, :], axis=2)
+        beta[j] = np.where(real[:, j + 1, None], new, 0)
+    marginal = np.exp(alpha.transpose(1, 0, 2) + beta.transpose(1, 0, 2) - total[:, None, None]) * real[:, :, None]
+    marginal[np.arange(n)[:, None], np.arange(length)[None], y] -= real
+    grad = np.stack([np.bincount(x.ravel(), np.repeat(marginal[:, :, k].ravel(), width), WEIGHTS) for k in range(3)], axis=1)
+    grad[0] = 0
+    turns = np.zeros((3, 3))
+    turns[0] += marginal[:, 0].sum(axis=0)
+    for j in range(1, length):
+        live = np.flatnonzero(real[:, j])
+        pair = np.exp(alpha[j - 1][live][:, :, None] + moves + (e[live, j] + beta[j][live])[:, None, :] - total[live][:, None, None]).sum(axis=0)
+        np.add.at(pair, (y[live, j - 1], y[live, j]), -1)
+        turns += pair
+    return np.concatenate((grad.ravel(), turns.ravel()))
+
+
 def _windows(text: str, seed: int) -> list[tuple[list[str], list[int], tuple]]:
     """Around the first base spans, or at hashed places of a text without any."""
     places = [(m.group(), *m.span()) for m in TOKEN.finditer(text)]
@@ -236,7 +248,7 @@ def _windows(text: str, seed: int) -> list[tuple[list[str], list[int], tuple]]:
                 while j < len(places) and places[j][1] < b and places[j][0] != "\n":
                     tags[j] = 1 if j == i else 2
                     j += 1
-    centres = [i for i, t in enumerate(tags) if t == 1][:WINDOWS] or [seed * (k + 7) % len(places) for k in range(6)]
+    centres = [i for i, t in enumerate(tags) if t == 1][:WINDOWS] or [seed * (k + 7) % len(places) for k in range(4)]
     return [([p[0] for p in places[max(0, c - AROUND) : c + AROUND]], tags[max(0, c - AROUND) : c + AROUND], kind) for c in centres]
 
 
