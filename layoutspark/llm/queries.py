@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_digests
 from .decontam import find_leaks
 from .langid import identify_languages
+from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard_join
 from .oracle import ORACLE
 from .quality import quality_rules
 from .secrets_crf import secret_spans
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
