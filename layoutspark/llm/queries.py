@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_digests
+from .chat import format_conversations
 from .decontam import find_leaks
 from .langid import identify_languages
 from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard_join
+from .ngram_lm import score_documents
 from .oracle import ORACLE
 from .quality import quality_rules
 from .secrets_crf import secret_spans
@@ -54,6 +57,15 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_conversations(_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "place", "turn", "role", "action", "cost", F.length("rendered").alias("n_chars"), F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
