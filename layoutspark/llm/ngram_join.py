@@ -345,3 +345,31 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     named = classes.join(label, classes.class_id == label.id, "left").select("n", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = prints.join(named, ["n", "f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) whose doc_id is the smallest of its component; rows without doc_id stay.
+
+    Only documents that may be among the removed ones (by a Bloom filter) go through a join; the others stay as they are.
+    """
+    out = materialize(ngram_jaccard_join(docs), "groups")
+    gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
+    bloom = _bloom(gone, gone.count())
+    gone = gone.withColumnRenamed("id", "__gone")
+    if bloom is None:
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    bits, table = bloom
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def marked(wanted: bool) -> DataFrame:
+        def run(batches):
+            table = shared.value
+            for batch in batches:
+                spot = batch.column(batch.num_columns - 1).fill_null(0).to_numpy(zero_copy_only=False)
+                hit = (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(hit == wanted)).columns[:-1], docs.columns)
+
+        return docs.withColumn("__spot", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))).mapInArrow(run, docs.schema)
+
+    maybe = marked(True)
+    return marked(False).union(maybe.join(gone, maybe["doc_id"].cast("long") == F.col("__gone"), "left_anti"))
