@@ -359,7 +359,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     if bloom is None:
         return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
     bits, table = bloom
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared, names = docs.sparkSession.sparkContext.broadcast(table), docs.columns
 
     def marked(wanted: bool) -> DataFrame:
         def run(batches):
@@ -367,7 +367,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 spot = batch.column(batch.num_columns - 1).fill_null(0).to_numpy(zero_copy_only=False)
                 hit = (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(hit == wanted)).columns[:-1], docs.columns)
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(hit == wanted)).columns[:-1], names)
 
         return docs.withColumn("__spot", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))).mapInArrow(run, docs.schema)
 
