@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import documents, materialize
-from .tokens import SLICE, U, buffers, mix, shingles, slices, words
+from .tokens import U, buffers, mix, shingles, slices, words
 
 WIDTH = 5
 #: Similarity as a ratio of integers.
 NUM, DEN = 80, 100
 #: Documents that hold a shingle: from here on pairs are indexed, from FREQUENT * 64 triples.
 FREQUENT = 16
+#: Shingles that a task gathers before it sends their counts: with the runs' copies, some 50 MB of a Python worker.
+FLUSH = 1 << 19
 #: Bound on the broadcast table of frequent shingles; beyond it FREQUENT doubles until the table fits.
 MOST_FREQUENT = 1 << 20
 #: Bound on a Bloom filter's bits (32 MB); a semi-join takes its place for more ids.
@@ -102,7 +104,7 @@ def frequent_shingles(docs: DataFrame, shards: int) -> DataFrame:
                 # a document counts once for each of its shingles
                 held.extend(np.unique(h[a:b]) >> U(24) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
                 total += len(h)
-                if total >= SLICE:
+                if total >= FLUSH:
                     yield from flush()
         yield from flush()
 

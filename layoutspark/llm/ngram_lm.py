@@ -31,7 +31,7 @@ from .tokens import U, buffers, mix, slices, words
 #: Weight of the bigram part, additive constant of the unigrams.
 WEIGHT, ADD = 0.6, 0.1
 #: Tokens that a task gathers before it sends counts, and tokens for each shard.
-FLUSH, SHARD = 1 << 20, 4 << 20
+FLUSH, SHARD = 1 << 19, 1 << 20
 END = U(0xE0D0E0D0E0D0E0D1)
 #: 8-bit log scale: 256 levels over so many decades.
 DECADES = 10.0
@@ -301,7 +301,7 @@ def fit(docs: DataFrame) -> Model:
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
     size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    shards = max(12, 1 + size // (6 * SHARD))
+    shards = max(12, 1 + size // (6 * SHARD))  # some six characters a token
     starts = range_starts(shards)
 
     def count(batches):
