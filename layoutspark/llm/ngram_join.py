@@ -298,29 +298,72 @@ def cross_pairs(postings: DataFrame) -> DataFrame:
     return postings.repartition("sig").sortWithinPartitions("sig", "component", "id").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+#: Bits of a set's sketch.
+SKETCH = 2048
+
+
+def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, size, sketch, set of the documents whose doc_id is among ids, written once.
+
+    A set is its sorted hashes, cut to 48 bits: two sets of a thousand shingles then agree by chance in one of 10**8
+    pairs. The sketch has the bits that its hashes name.
+    """
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             for ids, h, bounds in _sets(batch):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "set"])
+                sets = [np.unique(h[a:b] >> U(16)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                bits = []
+                for s in sets:
+                    spots = np.zeros(SKETCH, dtype=np.uint8)
+                    spots[(s % U(SKETCH)).astype(np.int64)] = 1
+                    bits.append(np.packbits(spots).tobytes())
+                packed = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int32()), pa.array(bits, pa.binary()), pa.array(packed, pa.binary())], ["id", "size", "sketch", "set"])
+
+    ids = materialize(ids.distinct(), "ids")
+    return materialize(_some(docs, ids, ids.count()).mapInArrow(run, "id long, size int, sketch binary, set binary"), "sets")
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets reach the similarity.
+
+    Bits that only one sketch has are shingles that only one set has, so the sketches alone rule out most pairs that
+    are far apart, without loss; only the others bring their sets together.
+    """
+
+    def able(batches):
+        for batch in batches:
+            n = batch.num_rows
+            size_a, size_b = (batch.column(k).to_numpy() for k in ("size_a", "size_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in ("sketch_a", "sketch_b"))
+            only = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(_fits(size_a, size_a - only(x, y), size_b, size_b - only(y, x))))
 
     def check(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _unpacked(x), _unpacked(y)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = materialize(_some(docs, ids, ids.count()).mapInArrow(sets, "id long, set binary"), "sets")
-    side = lambda k: found.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    def beside(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        for k in ("b", "a"):
+            ids = pairs.select(F.col(k).alias("id")).distinct()
+            pairs = pairs.join(sets.select("id", *columns).join(ids, "id", "left_semi").select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns)), k)
+        return pairs.select("a", "b", *(f"{c}_{k}" for c in columns for k in "ab"))
+
+    pairs = materialize(pairs.distinct(), "pairs")
+    near = materialize(beside(pairs, ["size", "sketch"]).mapInArrow(able, "a long, b long").distinct(), "near")
+    return materialize(beside(near, ["set"]).mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
@@ -335,13 +378,14 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     classes = materialize(prints.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles")).first()
     shards = 1 + int(total["shingles"] or 0) // (1 << 20)
-    table, df, least = _table(frequent_shingles(docs, max(12, shards)))
+    table, df, least = _table(materialize(frequent_shingles(docs, max(12, shards)), "frequent"))
     firsts = _some(docs, classes.where("n > 3 and class_id is not null").select(F.col("class_id").alias("id")), total["n"])
     postings = materialize(hub_pairs(index(firsts, table, df, least)), "postings")
-    links = materialize(verified(postings.where("fits").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), docs), "links")
+    sets = set_table(docs, postings.select("id").union(postings.select("hub")))
+    links = verified(postings.where("fits").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), sets)
     label = components(links)
-    near = postings.select("sig", "id", "size", "eff").distinct().join(label, "id", "left").select("sig", "id", "size", "eff", F.coalesce("component", "id").alias("component"))
-    more = materialize(verified(cross_pairs(near), docs), "links")
+    near = postings.select("sig", "id", "size", "eff").join(label, "id", "left").select("sig", "id", "size", "eff", F.coalesce("component", "id").alias("component"))
+    more = verified(cross_pairs(near), sets)
     if more.limit(1).count():
         label = components(links.union(more))
     named = classes.join(label, classes.class_id == label.id, "left").select("n", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
