@@ -15,6 +15,7 @@ memory by every task that scores (read at once where the folder is no local path
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -129,11 +130,12 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> int:
         at += -(-a.nbytes // 8) * 8
     text = json.dumps(head).encode()
     text += b" " * (-(len(text) + 8) % 8)
-    with files.open_output_stream(f"{root}/{name}.tmp", compression=None) as f:
+    draft = f"{root}/{name}-{uuid.uuid4().hex}.tmp"  # attempts of one task may overlap
+    with files.open_output_stream(draft, compression=None) as f:
         f.write(len(text).to_bytes(8, "little") + text)
         for a in arrays.values():
             f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-    files.move(f"{root}/{name}.tmp", f"{root}/{name}")
+    files.move(draft, f"{root}/{name}")
     return at
 
 
