@@ -190,6 +190,8 @@ def signatures(hashes: np.ndarray, is_frequent: np.ndarray, df: np.ndarray, leas
             group = groups.setdefault((k, (token >> 8) % parts), [])
             group.append(token)
             have += len(group) >= k
+        # without a pair in common, no more than one shingle of each part of the pairs' class is shared
+        apart = sum(max(0, len(g) - 1) for (k, _), g in groups.items() if k == 2)
         for (k, _), group in groups.items():
             if len(group) >= k:
                 combos = np.array(list(combinations(group, k)), dtype=np.uint64)
@@ -197,7 +199,7 @@ def signatures(hashes: np.ndarray, is_frequent: np.ndarray, df: np.ndarray, leas
                 for c in range(k):
                     key = mix(key * U(0x9E3779B97F4A7C15) + combos[:, c])
                 sig += key.tolist()
-                eff += [top] * len(combos)
+                eff += [top if k == 2 else top - apart] * len(combos)
     return sig, eff
 
 
@@ -264,42 +266,94 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
     return postings.repartition("sig").sortWithinPartitions("sig", F.col("eff").desc(), "size", "id").mapInArrow(run, kind)
 
 
-def cross_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of a list (sorted by component) that lie in different components and can still link."""
+#: Pairs from which a list sends its members to be compared by sketches, instead of its pairs.
+MANY_PAIRS = 10_000
 
-    def pairs(ids, size, eff, comp):
-        if comp[0] == comp[-1]:
-            return
-        starts = np.flatnonzero(np.concatenate(([True], comp[1:] != comp[:-1])))
-        for a, b in zip(starts, np.append(starts[1:], len(comp)), strict=True):
-            # each component against what follows it, a block of its members at a time
-            for i in range(a, b):
-                can = np.flatnonzero(_fits(size[i], eff[i], size[b:], eff[b:])) + b
-                if len(can):
-                    yield np.minimum(ids[i], ids[can]), np.maximum(ids[i], ids[can])
+
+def _across(fits, comp: np.ndarray):
+    """Pairs (i, others) of different components, of a list sorted by component."""
+    starts = np.flatnonzero(np.concatenate(([True], comp[1:] != comp[:-1])))
+    for a, b in zip(starts, np.append(starts[1:], len(comp)), strict=True):
+        for i in range(a, b) if b < len(comp) else ():
+            can = np.flatnonzero(fits(i, b)) + b
+            if len(can):
+                yield i, can
+
+
+def _lists(batches):
+    """The columns of each whole list (rows with one sig) of sorted batches."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = _columns(batch)
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield [c[a:b] for c in cols]
+        held = [c[starts[-1] :] for c in cols]
+    if held is not None:
+        yield held
+
+
+def cross_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a list (sorted by component) that lie in different components and can still link.
+
+    A list with many such pairs sends its members instead; these get their sketches and only pairs that the sketches
+    leave open are sent. So a large group of near copies that do not link adds rows in proportion to its members.
+    """
+    kind = "sig long, a long, b long, size int, eff int, component long"
+    names = ["sig", "a", "b", "size", "eff", "component"]
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        cols = [[p[k] for p in parts] for k in range(6)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(p[1]), t) if x is None else pa.array(x, t) for x, p in zip(c, parts, strict=True)]) for c, t in zip(cols, types, strict=True)], names)
 
     def run(batches):
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = _columns(batch)
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
+        held, total = [], 0
+        for sig, ids, size, eff, comp in _lists(batches):
+            if comp[0] == comp[-1]:
                 continue
-            starts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
-            out = [p for a, b in zip(starts[:-1], starts[1:], strict=True) if b - a > 1 for p in pairs(*(c[a:b] for c in cols[1:]))]
-            held = [c[starts[-1] :] for c in cols]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], ["a", "b"])
-        out = list(pairs(*held[1:])) if held is not None else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], ["a", "b"])
+            found, n = [], 0
+            for i, can in _across(lambda i, b: _fits(size[i], eff[i], size[b:], eff[b:]), comp):  # noqa: B023
+                found.append((None, np.minimum(ids[i], ids[can]), np.maximum(ids[i], ids[can]), None, None, None))
+                n += len(can)
+                if n > MANY_PAIRS:
+                    found, n = [(sig, ids, None, size, eff, comp)], len(ids)
+                    break
+            held += found
+            total += n
+            if total > 1 << 17:
+                yield rows(held)
+                held, total = [], 0
+        if held:
+            yield rows(held)
+
+    def sketched(batches):
+        for _, ids, size, eff, comp, sketch in _lists(batches):
+            bits = np.frombuffer(b"".join(sketch.tolist()), np.uint8).reshape(len(ids), -1).view(np.uint64)
+            only = lambda p, q: np.bitwise_count(p & ~q).sum(axis=-1, dtype=np.int64)
+
+            def fits(i, b):
+                ok = np.flatnonzero(_fits(size[i], eff[i], size[b:], eff[b:])) + b  # noqa: B023
+                out = np.zeros(len(size) - b, dtype=bool)  # noqa: B023
+                out[ok - b] = _fits(size[i], size[i] - only(bits[i], bits[ok]), size[ok], size[ok] - only(bits[ok], bits[i]))  # noqa: B023
+                return out
+
+            for i, can in _across(fits, comp):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[can])), pa.array(np.maximum(ids[i], ids[can]))], ["a", "b"])
 
-    return postings.repartition("sig").sortWithinPartitions("sig", "component", "id").mapInArrow(run, "a long, b long")
+    some = postings.repartition("sig").sortWithinPartitions("sig", "component", "id").mapInArrow(run, kind)
+    some = materialize(some, "across")
+    large = some.where("sig is not null").join(sets.select(F.col("id").alias("a"), "sketch").distinct(), "a").select("sig", F.col("a").alias("id"), "size", "eff", "component", "sketch")
+    more = large.repartition("sig").sortWithinPartitions("sig", "component", "id").mapInArrow(sketched, "a long, b long")
+    return some.where("sig is null").select("a", "b").union(more)
 
 
 #: Bits of a set's sketch.
-SKETCH = 2048
+SKETCH = 1024
 
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -385,7 +439,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     links = verified(postings.where("fits").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), sets)
     label = components(links)
     near = postings.select("sig", "id", "size", "eff").join(label, "id", "left").select("sig", "id", "size", "eff", F.coalesce("component", "id").alias("component"))
-    more = verified(cross_pairs(near), sets)
+    more = verified(cross_pairs(near, sets), sets)
     if more.limit(1).count():
         label = components(links.union(more))
     named = classes.join(label, classes.class_id == label.id, "left").select("n", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))

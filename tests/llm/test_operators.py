@@ -75,9 +75,10 @@ def components(rows):
     return {i: find(i) for i in ids}, ids
 
 
-@pytest.mark.parametrize("frequent", [2, 16])
-def test_ngram_join(monkeypatch, rows, docs, frequent):
+@pytest.mark.parametrize(("frequent", "many"), [(2, 0), (16, 10_000)])
+def test_ngram_join(monkeypatch, rows, docs, frequent, many):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "MANY_PAIRS", many)
     want, sets = components(rows)
     got = ngram_join.ngram_jaccard_join(docs).collect()
     assert len(got) == len(rows)
