@@ -37,8 +37,8 @@ WIDTH = 5
 NUM, DEN = 80, 100
 #: Documents that hold a shingle: from here on pairs are indexed, from FREQUENT * 64 triples.
 FREQUENT = 16
-#: Shingles that a task gathers before it sends their counts: with the runs' copies, some 50 MB of a Python worker.
-FLUSH = 1 << 19
+#: Shingles that a task gathers before it sends their counts: with the runs' copies, some 25 MB of a Python worker.
+FLUSH = 1 << 18
 #: Bound on the broadcast table of frequent shingles; beyond it FREQUENT doubles until the table fits.
 MOST_FREQUENT = 1 << 20
 #: Bound on a Bloom filter's bits (32 MB); a semi-join takes its place for more ids.

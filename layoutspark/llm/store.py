@@ -33,7 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of one Arrow batch: texts are long, and a batch is held by the JVM and by the Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:

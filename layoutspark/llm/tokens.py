@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 18
 #: Bytes of text that callers hold at once, besides a single longer text.
-SLICE = 2 << 20
+SLICE = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SEP = np.zeros(256, dtype=bool)
