@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index.
 
-The index maps each word of the license templates to its places in them. For a file, its license words are ranked by
-inverse document frequency, counted over the whole corpus; the places of the TOP rarest are looked up in the index, and
-postings that agree on file place minus template place (within SLACK words) vote for a template at that offset. The
-best offset of a template is scored by the share of the template's weight that stands there, and the label is given if
-the share reaches LEAST and the template's mandatory phrases occur in the file.
+The index maps each word of the license templates to its places in them. A template is looked at if its mandatory
+phrases occur in the file. Its words in the file are ranked by inverse document frequency, counted over the whole corpus,
+and the rarest are looked up, as many as it takes for the others to weigh less than LEAST of the template: so every offset
+(file place minus template place, within SLACK words) that can reach LEAST holds one of them. Each of these offsets is
+scored by the share of the template's weight that stands there, and the label is given if the best reaches LEAST. Nothing
+is shared between templates: a file's labels do not depend on what other licenses it holds.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from .store import documents
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TOP, SLACK, LEAST = 12, 2, 0.6
+SLACK, LEAST = 2, 0.6
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Label, characteristic passage of the license or its usual notice, phrases that must occur.
@@ -59,10 +61,10 @@ class Index:
     def __init__(self, frequency: dict[str, int], total: int) -> None:
         self.base = [(p.split(), label) for p, label in BASE]
         self.templates = [(label, t.split(), [p.split() for p in must]) for label, t, must in TEMPLATES]
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[str, dict[int, list[int]]] = {}  # word -> template -> places
         for k, (_, t, _) in enumerate(self.templates):
             for i, w in enumerate(t):
-                self.postings[w].append((k, i))
+                self.postings.setdefault(w, {}).setdefault(k, []).append(i)
         self.idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) + 1 for w in self.postings}
         self.weights = [sum(self.idf[w] for w in t) for _, t, _ in self.templates]
         self.vocabulary = frozenset(self.postings)
@@ -87,28 +89,36 @@ class Index:
         return len(words), len(hits), min(starts, default=None), max(starts, default=None), base, ",".join(sorted(labels)), score
 
     def matches(self, words: list[str], places: dict[str, list[int]]) -> list[tuple[str, float]]:
-        rare = sorted(places, key=lambda w: (-self.idf[w], w))[:TOP]
-        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for w in rare:
-            for k, i in self.postings[w]:
-                for at in places[w]:
-                    votes[k, at - i].add(i)
-        best: dict[int, float] = {}
-        for (k, offset), _ in votes.items():
-            _, template, _ = self.templates[k]
-            # offsets within SLACK count for the same place: a word may be missing or added
-            seen = set().union(*(votes.get((k, offset + d), ()) for d in range(-SLACK, SLACK + 1)))
-            if len(seen) * 2 < min(len(template), TOP) and len(seen) < 3:
+        near: dict[str, np.ndarray] = {}  # word -> the places within SLACK of it, moved by the longest template
+        pad = max(len(t) for _, t, _ in self.templates) + 2 * SLACK
+        out = []
+        for k, (label, template, must) in enumerate(self.templates):
+            if not all(all(w in places for w in p) and phrase_places(words, places, p) for p in must):
+                continue
+            own = {w for w in template if w in places}
+            rest = sum(self.idf[w] for w in template if w in own)
+            offsets = []
+            for w in sorted(own, key=lambda w: (-self.idf[w], w)):
+                # the words not looked up yet do not reach LEAST by themselves
+                if rest < LEAST * self.weights[k] - 1e-9:
+                    break
+                for i in self.postings[w].get(k, ()):
+                    rest -= self.idf[w]
+                    offsets.append(np.array(places[w]) - i)
+            if not offsets:
                 continue
-            held = 0.0
+            # offsets within SLACK count for the same place: a word may be missing or added
+            tried = np.unique(np.concatenate(offsets)[:, None] + np.arange(-SLACK, SLACK + 1))
+            held = np.zeros(len(tried))
             for i, w in enumerate(template):
-                if w in places and any(offset + i + d >= 0 and offset + i + d < len(words) and words[offset + i + d] == w for d in range(-SLACK, SLACK + 1)):
-                    held += self.idf[w]
-            best[k] = max(best.get(k, 0.0), held / self.weights[k])
-        out = []
-        for k, share in best.items():
-            label, _, must = self.templates[k]
-            if share >= LEAST and all(p[0] in places and phrase_places(words, places, p) for p in must):
+                if w in own:
+                    if w not in near:
+                        near[w] = np.zeros(len(words) + 2 * pad, dtype=bool)
+                        for d in range(-SLACK, SLACK + 1):
+                            near[w][np.array(places[w]) + pad + d] = True
+                    held += self.idf[w] * near[w][tried + pad + i]
+            share = float(held.max()) / self.weights[k]
+            if share >= LEAST:
                 out.append((label, min(1.0, share)))
         return out
 

@@ -224,6 +224,31 @@ def test_license_cases():
     assert index.scan(long)[2] == 5003 and index.scan(long)[5] == "apache-2"
 
 
+def test_several_licenses_in_a_file():
+    index = licenses.Index({w: 500 for w in ("all", "rights", "reserved", "cc", "by", "4", "0", "the", "of", "license")}, 1000)
+    parts = [(label, t) for label, t, _ in licenses.TEMPLATES]
+    for (a, x), (b, y) in itertools.product(parts, parts):
+        assert {a, b} <= set(index.scan(f"{x}. {'other ' * 30}{y}")[5].split(","))
+    assert index.scan(" ".join(t for _, t in parts))[5] == ",".join(sorted({label for label, _ in parts}))
+
+
+def test_license_shares_are_those_of_all_offsets():
+    rng = random.Random(3)
+    index = licenses.Index({w: rng.randrange(1000) for _, t, _ in licenses.TEMPLATES for w in t.split()}, 1000)
+    for _ in range(150):
+        text = []
+        for _, t, _ in rng.sample(licenses.TEMPLATES, 3):
+            text += [w for w in t.split() for _ in range(rng.choice((0, 1, 1, 1, 1, 2)))] + t.split() * rng.randrange(2) + ["and", "the"] * rng.randrange(3)
+        want = {}
+        for label, t, must in licenses.TEMPLATES:
+            t, whole = t.split(), sum(index.idf[w] for w in t.split())
+            share = max(sum(index.idf[w] for i, w in enumerate(t) if w in text[max(0, o + i - 2) : max(0, o + i + 3)]) for o in range(-len(t), len(text) + 1)) / whole
+            if share >= licenses.LEAST and all(f" {m} " in f" {' '.join(text)} " for m in must):
+                want[label] = max(want.get(label, 0), share)
+        got = index.scan(" ".join(text))
+        assert got[5] == ",".join(sorted(want)) and (got[1] or math.isclose(got[6], min(1, max(want.values(), default=0))))
+
+
 def test_viterbi_and_gradient():
     rng = np.random.default_rng(3)
     field = secrets_crf.Field(rng.normal(size=(secrets_crf.WEIGHTS, 3)), rng.normal(size=(3, 3)))
