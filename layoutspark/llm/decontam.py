@@ -6,7 +6,12 @@ item's walk is compared with them by BANDS samples of ROWS steps for each of WAL
 below 1.5 times the least item size of a size class, which a walk rarely leaves. At 20 % edits this finds about 95 %
 of single windows (see tests), and shifted windows of the same passage give further chances.
 
-Positions that cannot start a match are left out first, without loss: m words within k edits of an item of m words hold
+A walk sees the first three quarters of the least size of its class only, so an item is embedded in segments: from
+2 * SEGMENT words on it is cut into runs of SEGMENT to 1.5 * SEGMENT words, of which one at least has no more than its
+share of the edits, wherever they lie; a shorter item is embedded from its start and, if it is well above the least size
+of its class, its end is embedded as well.
+
+Positions that cannot start a match are left out first, without loss: m words within k edits of a segment of m words hold
 at least m - 2k words of the benchmark's vocabulary. Candidates are verified exactly: the least edit distance (words
 inserted, deleted, replaced) of the item to any run of words near the window, by bit-parallel dynamic programming.
 """
@@ -29,7 +34,9 @@ EDITS = 0.2
 WALKS, BANDS, ROWS = 3, 8, 3
 #: Items in one pass: bounds what is broadcast. More items are taken in blocks.
 BLOCK = 20_000
-_PAD = 64
+#: Least words of a segment of a long item. A segment, and a walk, is shorter than _PAD.
+SEGMENT = 32
+_PAD = 2 * SEGMENT
 
 
 def best_run(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -56,6 +63,16 @@ def best_run(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def segments(m: int) -> list[tuple[int, int]]:
+    """(first word, end) of the parts of an item of m words that are embedded; the parts cover the item from
+    2 * SEGMENT words on."""
+    if m >= 2 * SEGMENT:
+        n = m // SEGMENT
+        return [(m * i // n, m * (i + 1) // n) for i in range(n)]
+    least = 1 << (m.bit_length() - 1)
+    return [(0, m), (m - least, m)] if least >= 8 and m > least + least // 4 else [(0, m)]
+
+
 class Items:
     """The benchmark's items as word hashes, with the LSH tables."""
 
@@ -68,16 +85,19 @@ class Items:
         self.vocabulary = vocabulary
         self.spots = np.zeros(1 << 20, dtype=bool)
         self.spots[(vocabulary >> U(44)).astype(np.int64)] = True
-        self.sizes = sorted({len(w) for w in self.words if len(w)})
+        #: (item, first word, end) of what is embedded.
+        self.parts = [(i, a, b) for i, w in enumerate(self.words) if len(w) for a, b in segments(len(w))]
         self.classes: list[tuple[list[int], int, list]] = []
-        for level in sorted({n.bit_length() for n in self.sizes}):
-            members = [i for i, w in enumerate(self.words) if len(w).bit_length() == level]
+        for level in sorted({(b - a).bit_length() for _, a, b in self.parts}):
+            members = [p for p, (_, a, b) in enumerate(self.parts) if (b - a).bit_length() == level]
             least = 1 << (level - 1)
-            steps = max(1, min(_PAD, least + least // 2))
+            steps = max(1, least + least // 2)
             rng = np.random.default_rng(level)
             samples = [[np.sort(rng.choice(steps, min(ROWS, steps), replace=False)) for _ in range(BANDS)] for _ in range(WALKS)]
-            padded = np.concatenate([np.concatenate((self.words[i], np.zeros(_PAD, np.uint64))) for i in members])
-            starts = np.cumsum([0] + [len(self.words[i]) + _PAD for i in members])[:-1]
+            # a walk may go on into the item's next segment
+            runs = [self.words[i][a : a + _PAD] for i, a, _ in (self.parts[p] for p in members)]
+            padded = np.concatenate([x for run in runs for x in (run, np.zeros(_PAD, np.uint64))])
+            starts = np.cumsum([0] + [len(run) + _PAD for run in runs])[:-1]
             tables = []
             for r in range(WALKS):
                 for sig in bands(padded, coins(padded, r), starts, r, steps, samples[r]):
@@ -85,7 +105,7 @@ class Items:
                     spot = np.zeros(1 << 16, dtype=bool)
                     spot[(sig >> U(48)).astype(np.int64)] = True
                     tables.append((sig[order], np.array(members)[order], spot))
-            self.classes.append((sorted({len(self.words[i]) for i in members}), steps, [samples, tables]))
+            self.classes.append((sorted({b - a for _, a, b in (self.parts[p] for p in members)}), steps, [samples, tables]))
 
 
 def coins(hashes: np.ndarray, walk: int) -> np.ndarray:
@@ -115,9 +135,9 @@ def bands(hashes: np.ndarray, moves: np.ndarray, starts: np.ndarray, walk: int,
 
 
 def candidates(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
-    """(text, item, first word) of windows that share a band with an item."""
+    """(text, part, first word) of windows that share a band with a part of an item."""
     n = np.diff(bounds)
-    if not len(hashes) or not items.sizes:
+    if not len(hashes) or not items.parts:
         return set()
     doc = np.repeat(np.arange(len(n)), n)
     padded = np.zeros(len(hashes) + _PAD * len(n), dtype=np.uint64)
@@ -131,9 +151,7 @@ def candidates(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> set[tupl
     for sizes, steps, (samples, tables) in items.classes:
         ok = np.zeros(len(padded), dtype=bool)
         for m in sizes:
-            # a window of more than _PAD words is judged by its first _PAD
-            w = min(m, _PAD)
-            ok[: len(padded) - w + 1] |= sums[w:] - sums[: len(sums) - w] >= max(1, w - 2 * int(EDITS * m))
+            ok[: len(padded) - m + 1] |= sums[m:] - sums[: len(sums) - m] >= max(1, m - 2 * int(EDITS * m))
         ok &= padded != 0
         starts = np.flatnonzero(ok)
         for i in range(0, len(starts), 1 << 15):
@@ -154,9 +172,12 @@ def candidates(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> set[tupl
 def leaks(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, first word, last word): the best match of each item within its edits."""
     regions: dict[tuple[int, int], list[list[int]]] = {}
-    for doc, item, at in sorted(candidates(items, hashes, bounds)):
-        m, k = len(items.words[item]), items.edits[item]
-        lo, hi = at - m // 2 - k, at + m + k
+    near = []
+    for doc, part, at in candidates(items, hashes, bounds):
+        item, first, end = items.parts[part]
+        m, k, drift = len(items.words[item]), items.edits[item], (end - first) // 2
+        near.append((doc, item, at - first - drift - k, at - first + m + k + (drift if end - first < m else 0)))
+    for doc, item, lo, hi in sorted(near):
         own = regions.setdefault((doc, item), [])
         if own and lo <= own[-1][1]:
             own[-1][1] = max(own[-1][1], hi)
@@ -169,6 +190,9 @@ def leaks(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[in
         for lo, hi in spans:
             lo, hi = max(0, lo), min(int(bounds[doc + 1] - bounds[doc]), hi)
             text = hashes[bounds[doc] + lo : bounds[doc] + hi].tolist()
+            # within k edits all but k of the item's words stay, so most candidates need no alignment
+            if sum(map(set(text).__contains__, pattern)) < len(pattern) - items.edits[item]:
+                continue
             distance, end = best_run(pattern, text)
             if distance <= items.edits[item] and (best is None or distance < best[0]):
                 _, length = best_run(pattern[::-1], text[:end][::-1])

@@ -139,6 +139,22 @@ def test_leak_recall_at_the_allowed_edits():
     assert got <= set(want) and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("m", (31, 63, 100, 200, 400))
+@pytest.mark.parametrize("gathered", ("start", "middle", "end"))
+def test_leak_recall_of_gathered_edits(m, gathered):
+    rng = random.Random(m)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    benchmark = [[word() for _ in range(m)] for _ in range(40)]
+    items = decontam.Items(list(range(40)), pa.array([" ".join(x) for x in benchmark]))
+    k = m // 5
+    a = {"start": 0, "middle": (m - k) // 2, "end": m - k}[gathered]
+    texts = [" ".join([word() for _ in range(20)] + x[:a] + [word() for _ in range(k * replaced)] + x[a + k :] + [word() for _ in range(20)]) for x in benchmark for replaced in (0, 1)]
+    hashes, bounds, _, _ = tokens.words(*tokens.buffers(pa.array(texts)))
+    got = {(a, b): d for a, b, d, *_ in decontam.leaks(items, hashes, bounds)}
+    want = {(2 * i + r, i) for i in range(40) for r in (0, 1)}
+    assert set(got) <= want and len(got) >= 0.95 * len(want) and set(got.values()) == {k}
+
+
 @given(st.lists(st.integers(0, 5000), max_size=60), st.lists(st.integers(0, 5200), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_elias_fano(values, asked):
