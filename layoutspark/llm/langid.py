@@ -2,28 +2,28 @@
 
 Counts of hashed 1- to 3-grams by language are gathered from all training documents: each task adds up a table of
 BUCKETS counts for each language it meets, and the tables are summed by bucket. The matrix of smoothed log
-probabilities is broadcast (languages x BUCKETS floats), and batches are scored as sparse rows: the n-grams of a batch
+probabilities of all languages is broadcast (languages x BUCKETS floats), and batches are scored as sparse rows: the n-grams of a batch
 become bucket numbers with text bounds, and each language's row is gathered and summed between the bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import materialize, small_batches
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: Characters scored at once; a longer text is scored in pieces that overlap by an n-gram.
 PIECE = 1 << 18
-#: Languages in the model, the most frequent first: bounds what is broadcast (8 MB). Rarer ones are taken by none of the data here.
-MOST_LANGS = 256
+#: Languages counted, gathered and scored at once; there is no limit to their number.
+LANGS = 256
 
 
 def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,7 +71,12 @@ def is_held_out(mod: int, value: int):
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, bucket, n: over all rows of docs (text, lang); a task sends a table for each language."""
+    """lang, bucket, n: over all rows of docs (text, lang); a task sends a table for each language, or more if it meets many."""
+
+    def send(tables):
+        for lang, own in tables.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "bucket", "n"])
 
     def run(batches):
         tables: dict[str, np.ndarray] = {}
@@ -83,43 +88,70 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 for points, bounds, _ in pieces([t for t, x in zip(texts, langs, strict=True) if x == lang]):
                     for bucket, _ in grams(points, bounds):
                         own += np.bincount(bucket, minlength=BUCKETS)
-        for lang, own in tables.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "bucket", "n"])
+            if len(tables) > LANGS:
+                yield from send(tables)
+                tables = {}
+        yield from send(tables)
 
     return docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    def __init__(self, langs: list[str], counts: np.ndarray, priors: np.ndarray) -> None:
+    def __init__(self, langs: list[str], counts: np.ndarray | Iterable[np.ndarray], priors: np.ndarray) -> None:
+        """counts: languages x BUCKETS, whole or in blocks of languages."""
         self.langs = langs
-        smooth = counts + SMOOTHING
-        self.logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.logs = np.empty((len(langs), BUCKETS), dtype=np.float32)
+        at = 0
+        for part in [counts] if isinstance(counts, np.ndarray) else counts:
+            smooth = part + SMOOTHING
+            self.logs[at : at + len(part)] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+            at += len(part)
         self.priors = np.log(priors / priors.sum())
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        """Log probabilities up to a constant, texts x languages."""
-        out = np.tile(self.priors, (len(texts), 1))
+    def score(self, texts: list[str], first: int = 0, end: int | None = None) -> np.ndarray:
+        """Log probabilities up to a constant, texts x languages (from first to end)."""
+        logs = self.logs[first:end]
+        out = np.tile(self.priors[first:end], (len(texts), 1))
         for points, bounds, of in pieces(texts):
             for bucket, text in grams(points, bounds):
-                for k in range(len(self.langs)):
-                    sums = np.bincount(text, self.logs[k][bucket], minlength=len(of))
+                for k in range(len(logs)):
+                    sums = np.bincount(text, logs[k][bucket], minlength=len(of))
                     np.add.at(out[:, k], of, sums)
         return out
 
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(best language, its posterior) of each text, over LANGS languages at a time; the first of equals."""
+        lang, top, total = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
+        for first in range(0, len(self.langs), LANGS):
+            logs = self.score(texts, first, first + LANGS)
+            best = logs.max(axis=1)
+            lang = np.where(best > top, first + logs.argmax(axis=1), lang)
+            new = np.maximum(top, best)
+            total = total * np.exp(top - new) + np.exp(logs - new[:, None]).sum(axis=1)
+            top = new
+        return lang, 1 / total
+
 
 def fit(docs: DataFrame) -> Model | None:
     """From all documents with text and language that are not held out (crc32 of the doc_id's text mod 4 is 2)."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(~is_held_out(4, 2), F.lit(True)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
-    known = rows.where(F.col("lang").isin(langs))
-    counts = np.zeros((len(langs), BUCKETS))
-    got = count_grams(known.select("text", "lang")).toPandas()
-    counts[np.searchsorted(np.array(langs, dtype=object), got["lang"].to_numpy(object)), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return Model(langs, counts, np.array([sizes[x] for x in langs], dtype=float))
+    found = count_grams(rows.select("text", "lang"))
+    if len(langs) > LANGS:
+        found = materialize(found, "grams")
+
+    def blocks() -> Iterator[np.ndarray]:
+        for i in range(0, len(langs), LANGS):
+            part = langs[i : i + LANGS]
+            got = (found.where(F.col("lang").isin(part)) if len(langs) > LANGS else found).toPandas()
+            counts = np.zeros((len(part), BUCKETS))
+            counts[np.searchsorted(np.array(part, dtype=object), got["lang"].to_numpy(object)), got["bucket"].to_numpy()] = got["n"].to_numpy()
+            yield counts
+
+    return Model(langs, blocks(), np.array([sizes[x] for x in langs], dtype=float))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
@@ -140,9 +172,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
             pred, prob = ["und"] * len(texts), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if t and model and any(map(str.isalpha, t))]
             if at:
-                logs = model.score([texts[i] for i in at])
-                best = logs.argmax(axis=1)
-                prob[at] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                best, prob[at] = model.best([texts[i] for i in at])
                 for i, k in zip(at, best, strict=True):
                     pred[i] = model.langs[k]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(prob)], ["doc_id", "held_out", "lang_pred", "score"])

@@ -134,6 +134,37 @@ def test_language_id(rows, docs):
     assert all((by[r[0]] == "und") == (not any(map(str.isalpha, r[1] or ""))) for r in rows)
 
 
+def test_more_languages_than_a_block(spark):
+    rng = random.Random(9)
+    alphabets = [[chr(0x4E00 + 24 * k + i) for i in range(24)] for k in range(270)]
+    texts = ["".join(rng.choice(a) for _ in range(80)) for a in alphabets for _ in range(2)]
+    docs = spark.createDataFrame([(10 * i, t, f"l{i // 2:03}") for i, t in enumerate(texts) if zlib.crc32(str(10 * i).encode()) % 4 != 2], "doc_id long, text string, lang string")
+    got = langid.identify_languages(docs).join(docs, "doc_id")
+    assert got.where("lang_pred = lang").count() == docs.count() and docs.select("lang").distinct().count() > 256
+
+
+def test_every_language_has_cutoffs_of_its_own(spark):
+    # 260 languages whose good documents have no symbols, and a small one whose good ones have as many as its bad ones
+    body = " ".join(f"w{i}" for i in range(60))
+    n = 0
+    rows, marks = [], []
+    for lang, docs in [(f"l{k:03}", 10) for k in range(258)] + [("a-small", 8), ("z-small", 8)]:
+        for i in range(docs):
+            good = i % 2
+            rows.append((n, body + " #" * (50 * (1 - good) if not lang.endswith("small") else 50), lang))
+            marks.append((n, good))
+            n += 1
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    seen = {}
+    real, quality.choose = quality.choose, lambda counts, strata: seen.update(counts) or {(s, r): 10 for s, r in counts if s == "z-small" and r == "symbols"}
+    try:
+        kept = {r["doc_id"] for r in quality.quality_rules(docs, labels).where("kept").collect()}
+    finally:
+        quality.choose = real
+    assert {s for s, _ in seen} == {r[2] for r in rows}
+    assert kept == {r[0] for r in rows if r[2] != "z-small"}
+
+
 def test_held_out_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify_languages(docs).join(docs, "doc_id").where("held_out")
