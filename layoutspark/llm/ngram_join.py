@@ -15,7 +15,9 @@ the prefix.
 
 Verification goes in two rounds. First every member of a posting list is compared with the list's hub (the member with
 the fewest unshared shingles before the match); links give components. Then only pairs of a list that lie in different
-components, and whose positions still allow the overlap, are compared. All comparisons are exact on the whole sets.
+components, and whose positions still allow the overlap, are compared: short lists send their pairs, longer ones their
+members, and a pair counts at the first list that it shares and only if the sketches of both leave it open. All final
+comparisons are exact on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import documents, materialize
+from .store import documents, fresh, materialize
 from .tokens import U, buffers, mix, shingles, slices, words
 
 WIDTH = 5
@@ -232,11 +234,11 @@ def index(docs: DataFrame, table: np.ndarray, df: np.ndarray, least: int) -> Dat
 
 def _fits(size_a, eff_a, size_b, eff_b):
     """Can the overlap reach what the similarity asks for?"""
-    return np.minimum(eff_a, eff_b) * (NUM + DEN) >= NUM * (size_a + size_b)
+    return np.minimum(eff_a, eff_b) * np.int64(NUM + DEN) >= NUM * (np.int64(1) * size_a + size_b)
 
 
-def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+def _columns(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def hub_pairs(postings: DataFrame) -> DataFrame:
@@ -266,90 +268,157 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
     return postings.repartition("sig").sortWithinPartitions("sig", F.col("eff").desc(), "size", "id").mapInArrow(run, kind)
 
 
-#: Pairs from which a list sends its members to be compared by sketches, instead of its pairs.
-MANY_PAIRS = 10_000
+#: Members up to which a list sends its pairs; a longer one sends its members.
+SHORT = 16
+#: Members of a list, or of a block of it, that meet in one task.
+BLOCK = 2048
+#: Members compared with a whole block at once.
+ROWS = 64
+#: Pairs of short lists that a task gathers, to send each once.
+GATHER = 1 << 16
+#: Earlier signatures that a member of a longer list brings along.
+EARLIER = 16
 
 
-def _across(fits, comp: np.ndarray):
-    """Pairs (i, others) of different components, of a list sorted by component."""
-    starts = np.flatnonzero(np.concatenate(([True], comp[1:] != comp[:-1])))
-    for a, b in zip(starts, np.append(starts[1:], len(comp)), strict=True):
-        for i in range(a, b) if b < len(comp) else ():
-            can = np.flatnonzero(fits(i, b)) + b
-            if len(can):
-                yield i, can
-
-
-def _lists(batches):
-    """The columns of each whole list (rows with one sig) of sorted batches."""
-    held: list[np.ndarray] | None = None
+def _whole_lists(batches, keys: int = 1):
+    """The columns of sorted batches, in runs that end where the first keys columns change; a run's end is a list's end."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        cols = _columns(batch)
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
-        starts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield [c[a:b] for c in cols]
-        held = [c[starts[-1] :] for c in cols]
-    if held is not None:
-        yield held
-
-
-def cross_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a list (sorted by component) that lie in different components and can still link.
-
-    A list with many such pairs sends its members instead; these get their sketches and only pairs that the sketches
-    leave open are sent. So a large group of near copies that do not link adds rows in proportion to its members.
+        key = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]])
+        starts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(keys)):
+            starts = np.insert(starts, 0, 0)
+        if len(starts):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(starts[-1]))]).combine_chunks()
+            held, batch = [], batch.slice(int(starts[-1]))
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), dtype=bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first]
+
+
+def _may_meet(sig: np.ndarray, size: np.ndarray, eff: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one list (rows are sorted by list) in different components that can still link."""
+    i = np.arange(len(sig))
+    for step in range(1, len(sig)):
+        i = i[: np.searchsorted(i, len(sig) - step)]
+        i = i[sig[i] == sig[i + step]]
+        if not len(i):
+            return
+        j = i + step
+        ok = (comp[i] != comp[j]) & _fits(size[i], eff[i], size[j], eff[j])
+        yield i[ok], j[ok]
+
+
+def short_lists(lists: DataFrame) -> DataFrame:
+    """Of sorted lists: the pairs of the short ones (sig null), and the members that may link of the longer ones (b null).
+
+    Rows are proportional to the members. A list beyond BLOCK is passed on as it comes, so no list is held whole.
     """
-    kind = "sig long, a long, b long, size int, eff int, component long"
-    names = ["sig", "a", "b", "size", "eff", "component"]
+    names = ["sig", "a", "b", "size", "eff", "component", "m"]
 
-    def rows(parts: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        cols = [[p[k] for p in parts] for k in range(6)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(p[1]), t) if x is None else pa.array(x, t) for x, p in zip(c, parts, strict=True)]) for c, t in zip(cols, types, strict=True)], names)
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        empty = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([empty[0], pa.array(a), pa.array(b), *empty[1:]], names)
 
     def run(batches):
         held, total = [], 0
-        for sig, ids, size, eff, comp in _lists(batches):
-            if comp[0] == comp[-1]:
-                continue
-            found, n = [], 0
-            for i, can in _across(lambda i, b: _fits(size[i], eff[i], size[b:], eff[b:]), comp):  # noqa: B023
-                found.append((None, np.minimum(ids[i], ids[can]), np.maximum(ids[i], ids[can]), None, None, None))
-                n += len(can)
-                if n > MANY_PAIRS:
-                    found, n = [(sig, ids, None, size, eff, comp)], len(ids)
-                    break
-            held += found
-            total += n
-            if total > 1 << 17:
-                yield rows(held)
+        for table in _whole_lists(batches):
+            sig, ids, size, eff, comp, m = _columns(table)
+            at = np.flatnonzero(m <= SHORT)
+            for i, j in _may_meet(sig[at], size[at], eff[at], comp[at]):
+                a, b = ids[at[i]], ids[at[j]]
+                held.append((np.minimum(a, b), np.maximum(a, b)))
+                total += len(i)
+            if total > GATHER:
+                yield sent(held)
                 held, total = [], 0
+            meets = m > BLOCK
+            at = np.flatnonzero((m > SHORT) & ~meets)
+            for i, j in _may_meet(sig[at], size[at], eff[at], comp[at]):
+                meets[at[i]] = meets[at[j]] = True
+            if meets.any():
+                yield pa.RecordBatch.from_arrays([pa.array(sig[meets]), pa.array(ids[meets]), pa.nulls(int(meets.sum()), pa.int64()), *(pa.array(x[meets]) for x in (size, eff, comp, m))], names)
         if held:
-            yield rows(held)
+            yield sent(held)
+
+    return lists.mapInArrow(run, "sig long, a long, b long, size int, eff int, component long, m long")
 
-    def sketched(batches):
-        for _, ids, size, eff, comp, sketch in _lists(batches):
-            bits = np.frombuffer(b"".join(sketch.tolist()), np.uint8).reshape(len(ids), -1).view(np.uint64)
-            only = lambda p, q: np.bitwise_count(p & ~q).sum(axis=-1, dtype=np.int64)
 
-            def fits(i, b):
-                ok = np.flatnonzero(_fits(size[i], eff[i], size[b:], eff[b:])) + b  # noqa: B023
-                out = np.zeros(len(size) - b, dtype=bool)  # noqa: B023
-                out[ok - b] = _fits(size[i], size[i] - only(bits[i], bits[ok]), size[ok], size[ok] - only(bits[ok], bits[i]))  # noqa: B023
-                return out
+def long_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (sig, id, size, eff, component, m) of longer lists that nothing but whole sets can rule out.
 
-            for i, can in _across(fits, comp):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[can])), pa.array(np.maximum(ids[i], ids[can]))], ["a", "b"])
+    A pair meets at each signature that it shares. Only the first one counts (there its position allows the overlap of
+    any pair that links), so each member brings along the EARLIER first of its signatures before this one, and a pair
+    with one of them in common is left to that list. Lists beyond BLOCK members are cut into blocks by a hash of the id,
+    and blocks meet two by two in a task of their own.
+    """
+    own = members.groupBy("id").agg(F.first("size").alias("size"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct((-F.col("eff")).alias("order"), "sig", "m"))).alias("own"))
+    own = own.join(sets.select("id", "sketch").distinct(), "id")
+    each = own.select("id", "size", "component", "sketch", "own", F.posexplode("own").alias("place", "x"))
+    each = each.select(F.col("x.sig").alias("sig"), "id", "size", (-F.col("x.order")).alias("eff"), "component", "sketch", F.slice(F.col("own.sig"), F.lit(1), F.least("place", F.lit(EARLIER))).alias("before"), F.ceil(F.col("x.m") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    dealt = each.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "size", "eff", "component", "sketch", "before")
 
-    some = postings.repartition("sig").sortWithinPartitions("sig", "component", "id").mapInArrow(run, kind)
-    some = materialize(some, "across")
-    large = some.where("sig is not null").join(sets.select(F.col("id").alias("a"), "sketch").distinct(), "a").select("sig", F.col("a").alias("id"), "size", "eff", "component", "sketch")
-    more = large.repartition("sig").sortWithinPartitions("sig", "component", "id").mapInArrow(sketched, "a long, b long")
-    return some.where("sig is null").select("a", "b").union(more)
+    def run(batches):
+        for table in _whole_lists(batches, 3):
+            key = np.stack([table.column(k).to_numpy() for k in range(3)])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cut], [*cut, table.num_rows], strict=True):
+                for i, j in _open_pairs(table.slice(a, b - a)):
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], ["a", "b"])
+
+    return dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "component", "id").mapInArrow(run, "a long, b long")
+
+
+def _open_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one list, or two blocks of one (p, q): pairs that meet here first and that their sketches leave open."""
+    n = table.num_rows
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    block, ids, size, eff, comp = (table.column(k).to_numpy() for k in ("block", "id", "size", "eff", "component"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, -1).view(np.uint64)
+    before = table.column("before").combine_chunks()
+    of, values = np.repeat(np.arange(n), before.value_lengths().to_numpy()), before.flatten().to_numpy()
+    names, code, times = np.unique(values, return_inverse=True, return_counts=True)
+    # only signatures that two rows have matter
+    rank = np.cumsum(times > 1) - 1
+    of, code = of[times[code] > 1], rank[code[times[code] > 1]]
+    bits = np.zeros((n, -(-int((times > 1).sum()) // 64)), dtype=np.uint64)
+    np.bitwise_or.at(bits, (of, code >> 6), U(1) << (code & 63).astype(np.uint64))
+    only = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+    for first in range(0, n, ROWS):
+        last = min(n, first + ROWS)
+        ok = np.triu((comp[first:last, None] != comp[None, first:]) & _fits(size[first:last, None], eff[first:last, None], size[None, first:], eff[None, first:]), 1)
+        if p != q:
+            ok &= block[first:last, None] != block[None, first:]
+        i, j = np.nonzero(ok)
+        for at in range(0, len(i), ROWS * BLOCK // 8):
+            x, y = i[at : at + ROWS * BLOCK // 8] + first, j[at : at + ROWS * BLOCK // 8] + first
+            new = ~(bits[x] & bits[y]).any(axis=1)
+            x, y = x[new], y[new]
+            new = _fits(size[x], size[x] - only(sketch[x], sketch[y]), size[y], size[y] - only(sketch[y], sketch[x]))
+            if new.any():
+                yield np.minimum(ids[x[new]], ids[y[new]]), np.maximum(ids[x[new]], ids[y[new]])
+
+
+def cross_pairs(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of postings of one list that lie in different components and can still link."""
+    whole = Window.partitionBy("sig").orderBy("component", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lists = near.select("sig", "id", "size", "eff", "component", F.count(F.lit(1)).over(whole).alias("m"), F.first("component").over(whole).alias("least"), F.last("component").over(whole).alias("most"))
+    some = materialize(short_lists(lists.where("least <> most").drop("least", "most")), "across")
+    members = some.where("sig is not null").select("sig", F.col("a").alias("id"), "size", "eff", "component", "m")
+    return some.where("sig is null").select("a", "b").union(long_lists(members, sets))
 
 
 #: Bits of a set's sketch.
@@ -442,22 +511,28 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     more = verified(cross_pairs(near, sets), sets)
     if more.limit(1).count():
         label = components(links.union(more))
-    named = classes.join(label, classes.class_id == label.id, "left").select("n", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = prints.join(named, ["n", "f1", "f2"], "left")
+    named = classes.join(label, classes.class_id == label.id, "left").select("n", "f1", "f2", "copies", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    # most classes are one document without links, and name nothing; wordless texts have no class, and a key of their own
+    named = named.where("copies > 1 or component_id <> class_id").drop("copies")
+    key = F.when(F.col("n") > 0, F.col("f1")).otherwise(F.xxhash64("doc_id"))
+    out = prints.withColumn("f1", key).join(named, ["n", "f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs (all columns) whose doc_id is the smallest of its component; rows without doc_id stay.
 
+    Null and wordless texts are linked with nothing and stay. Repeated rows of the smallest doc_id all stay, as they are
+    one document. docs may have any other columns, of any name. An empty table stays empty.
     Only documents that may be among the removed ones (by a Bloom filter) go through a join; the others stay as they are.
     """
     out = materialize(ngram_jaccard_join(docs), "groups")
     gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
     bloom = _bloom(gone, gone.count())
-    gone = gone.withColumnRenamed("id", "__gone")
+    extra = fresh(docs, "gone")
+    gone = gone.withColumnRenamed("id", extra)
     if bloom is None:
-        return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col(extra), "left_anti")
     bits, table = bloom
     shared, names = docs.sparkSession.sparkContext.broadcast(table), docs.columns
 
@@ -469,7 +544,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
                 hit = (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(hit == wanted)).columns[:-1], names)
 
-        return docs.withColumn("__spot", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))).mapInArrow(run, docs.schema)
+        return docs.withColumn(fresh(docs, "spot"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))).mapInArrow(run, docs.schema)
 
     maybe = marked(True)
-    return marked(False).union(maybe.join(gone, maybe["doc_id"].cast("long") == F.col("__gone"), "left_anti"))
+    return marked(False).union(maybe.join(gone, maybe["doc_id"].cast("long") == F.col(extra), "left_anti"))

@@ -43,6 +43,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, whatever other columns there are."""
     small_batches(docs.sparkSession)

@@ -75,10 +75,10 @@ def components(rows):
     return {i: find(i) for i in ids}, ids
 
 
-@pytest.mark.parametrize(("frequent", "many"), [(2, 0), (16, 10_000)])
-def test_ngram_join(monkeypatch, rows, docs, frequent, many):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "MANY_PAIRS", many)
+@pytest.mark.parametrize(("frequent", "short", "block"), [(2, 2, 3), (16, 16, 2048)])
+def test_ngram_join(monkeypatch, rows, docs, frequent, short, block):
+    for name, value in (("FREQUENT", frequent), ("SHORT", short), ("BLOCK", block)):
+        monkeypatch.setattr(ngram_join, name, value)
     want, sets = components(rows)
     got = ngram_join.ngram_jaccard_join(docs).collect()
     assert len(got) == len(rows)
@@ -90,6 +90,29 @@ def test_ngram_join(monkeypatch, rows, docs, frequent, many):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted([i for i, c in want.items() if i == c] + [3] * (want[3] == 3))
 
 
+@pytest.mark.parametrize(("short", "block", "most"), [(2, 2048, 1 << 20), (4, 40, 1 << 20), (4, 2048, 50)])
+def test_dense_group_below_the_limit(monkeypatch, spark, short, block, most):
+    """Near copies of one text, most pairs of which are just below the similarity: none is lost, and few candidates are made twice."""
+    for name, value in (("SHORT", short), ("BLOCK", block), ("MOST_FREQUENT", most)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(300)}" for _ in range(90)]
+    rows = []
+    for i in range(160):
+        x = list(base)
+        for k in rng.sample(range(90), rng.choice([0, 1, 2, 2, 3, 3, 4])):
+            x[k] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(x)))
+    made = []
+    pairs = ngram_join.cross_pairs
+    monkeypatch.setattr(ngram_join, "cross_pairs", lambda *a: made.append(pairs(*a)) or made[-1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want, sets = components(rows)
+    assert got == want
+    assert 1 < len(set(want.values())) < 160
+    assert made[0].count() < 2 * made[0].distinct().count() + 160
+
+
 def test_quality(rows, docs, labels):
     got = quality.quality_rules(docs, labels).collect()
     assert len(got) == len(rows)
