@@ -16,6 +16,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -32,6 +33,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Dictionary size, and the bytes of evenly spread records (whole ones up to SAMPLE_RECORD) that it is built from.
 DICTIONARY, SAMPLE, SAMPLE_RECORD = 64 << 10, 2 << 20, 64 << 10
 LEVEL = 3
+#: Bytes read at a time where a frame's end is not known; tasks that read archives back, at most.
+PIECE, MOST_READERS = 64 << 10, 100_000
 #: The magic number of the skippable frame that holds a dictionary in .warc.zst files, and of a zstd frame.
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 
@@ -81,24 +84,36 @@ def build_dictionary(records: list[bytes]) -> bytes:
         return b""
 
 
-def archive(records: list[bytes]) -> bytes:
+def archive(records: list[bytes]) -> tuple[bytes, list[int]]:
+    """The archive, and the place of each record's frame in it."""
     dictionary = build_dictionary(records)
     data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=True)
-    return b"".join([struct.pack("<II", SKIPPABLE, len(dictionary)), dictionary, *(packer.compress(r) for r in records)])
+    parts = [struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary, *(packer.compress(r) for r in records)]
+    return b"".join(parts), list(accumulate(map(len, parts[:-1])))
 
 
-def read_archive(data: bytes) -> Iterator[bytes]:
+def read_archive(data: bytes, places: list[int] | None = None) -> Iterator[bytes]:
+    """The records. With their places each frame is read by itself, else frames are found by reading on from one to the next."""
     magic, size = struct.unpack("<II", data[:8])
     if magic != SKIPPABLE:
         raise ValueError("the archive has no leading dictionary frame")
-    dictionary = zstandard.ZstdCompressionDict(data[8 : 8 + size]) if size else None
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]) if size else None)
+    view = memoryview(data)
+    if places is not None:
+        for at, end in zip(places, [*places[1:], len(data)], strict=False):
+            yield reader.decompress(view[at:end])
+        return
     at = 8 + size
     while at < len(data):
-        unpacker = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-        out = unpacker.decompress(memoryview(data)[at:])
-        at = len(data) - len(unpacker.unused_data)
-        yield out
+        frame, out = reader.decompressobj(), []
+        while not frame.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a record")
+            out.append(frame.decompress(view[at : at + PIECE]))
+            at = min(at + PIECE, len(data))
+        at -= len(frame.unused_data)
+        yield b"".join(out)
 
 
 def _batches(held: Iterator, folder: str) -> Iterator[pa.RecordBatch]:
@@ -107,22 +122,27 @@ def _batches(held: Iterator, folder: str) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
     for k, records in enumerate(held):
-        data = archive(records)
+        data, places = archive(records)
         path = f"{root}/{name}-{k:04d}.warc.zst"
         with files.open_output_stream(path, compression=None) as out:
             out.write(data)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{k:04d}.warc.zst"]), pa.array([len(records)], pa.int64()), pa.array([len(data)], pa.int64())], ["file", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{k:04d}.warc.zst"]), pa.array([len(records)], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([places], pa.list_(pa.int64()))], ["file", "records", "bytes", "places"])
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages (page_id, url, html) below folder; returns the manifest (file, records, bytes), already written."""
+    """Writes pages (page_id, url, html) below folder; returns the manifest (file, records, bytes, places), already written.
+
+    Revisits are found on digests alone; payloads are dealt by page_id, so a page that many copy is no hot key.
+    """
     small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    firsts = pages.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = pages.join(firsts, "digest", "left").select("page_id", "url", "payload", "size", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    long = pages.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest").where("page_id is not null")
+    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").select("digest", "first")
+    revisits = long.join(firsts, "digest").where("first <> page_id").groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
+    rows = pages.join(revisits, ["page_id", "digest"], "left")
     # the payload of a revisit is not needed any more
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
     def run(batches):
         def archives():
@@ -140,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
         yield from _batches(archives(), folder)
 
-    return materialize(rows.mapInArrow(run, "file string, records long, bytes long"), "manifest")
+    return materialize(rows.mapInArrow(run, "file string, records long, bytes long, places array<long>"), "manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -152,11 +172,11 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         files, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, places in zip(batch.column("file").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 with files.open_input_stream(f"{root}/{name}", compression=None) as f:
                     data = f.read()
                 rows, total = [], 0
-                for fields, payload in map(parse, read_archive(data)):
+                for fields, payload in map(parse, read_archive(data, places)):
                     kind, digest, size = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Payload-Length"])
                     number = lambda key: None if (x := fields[key][len("<urn:page:") : -1]) == "None" else int(x)  # noqa: B023, E731
                     if kind == "response":
@@ -170,7 +190,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                         rows, total = [], 0
                 yield _rows(rows)
 
-    names = manifest.select("file").repartition(F.col("file"))
+    # a task for each archive, which holds as much as a partition; the manifest's rows say nothing of their sizes
+    names = manifest.select("file", "places").repartitionByRange(min(MOST_READERS, max(1, manifest.count())), "file")
     return names.mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
