@@ -22,7 +22,7 @@ comparisons are exact on the whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,12 +47,9 @@ MOST_FREQUENT = 1 << 20
 MOST_BITS = 1 << 28
 
 
-def _sets(batch: pa.RecordBatch, keep: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, shingle hashes, bounds."""
     ids, texts = batch.column("doc_id"), batch.column("text")
-    if keep is not None:
-        mask = pa.array(keep)
-        ids, texts = ids.filter(mask), texts.filter(mask)
     data, off = buffers(texts)
     for i, j in slices(np.diff(off)):
         hashes, bounds, _, _ = words(data, off[i : j + 1])
@@ -148,25 +145,23 @@ def _bloom(ids: DataFrame, n: int) -> tuple[int, np.ndarray] | None:
     return bits, out
 
 
-def _some(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The documents whose doc_id is among ids (column id), with a spot column; Bloom-filtered before any shuffle.
+def _some(docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """The documents whose doc_id is among ids (column id), before any shuffle: rows, and a filter for their batches.
 
-    A few others may stay, which is harmless to every caller.
+    The filter is a Bloom filter and runs in the task that uses the texts. A few others may stay, which is harmless to
+    every caller.
     """
     bloom = _bloom(ids, n)
     if bloom is None:
-        return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), lambda batch: batch
     bits, table = bloom
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches):
-        table = shared.value
-        for batch in batches:
-            spot = batch.column("spot").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        table, spot = shared.value, batch.column("spot").to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array((table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
 
-    spotted = docs.where(F.col("doc_id").isNotNull()).withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    return spotted.mapInArrow(run, "doc_id long, text string")
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(bits))), keep
 
 
 def signatures(hashes: np.ndarray, is_frequent: np.ndarray, df: np.ndarray, least: int) -> tuple[list[int], list[int]]:
@@ -205,14 +200,14 @@ def signatures(hashes: np.ndarray, is_frequent: np.ndarray, df: np.ndarray, leas
     return sig, eff
 
 
-def index(docs: DataFrame, table: np.ndarray, df: np.ndarray, least: int) -> DataFrame:
+def index(docs: DataFrame, keep: Callable, table: np.ndarray, df: np.ndarray, least: int) -> DataFrame:
     """sig, id, size, eff: the postings of every set with at least 4 shingles (below that only equal sets link)."""
     shared = docs.sparkSession.sparkContext.broadcast((table, df))
 
     def run(batches):
         table, freq = shared.value
         for batch in batches:
-            for ids, h, bounds in _sets(batch):
+            for ids, h, bounds in _sets(keep(batch)):
                 cols: tuple[list, list, list, list] = ([], [], [], [])
                 short = h >> U(24)
                 at = np.minimum(np.searchsorted(table, short), max(0, len(table) - 1))
@@ -434,7 +429,7 @@ def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for ids, h, bounds in _sets(batch):
+            for ids, h, bounds in _sets(keep(batch)):
                 sets = [np.unique(h[a:b] >> U(16)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 bits = []
                 for s in sets:
@@ -445,7 +440,8 @@ def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int32()), pa.array(bits, pa.binary()), pa.array(packed, pa.binary())], ["id", "size", "sketch", "set"])
 
     ids = materialize(ids.distinct(), "ids")
-    return materialize(_some(docs, ids, ids.count()).mapInArrow(run, "id long, size int, sketch binary, set binary"), "sets")
+    some, keep = _some(docs, ids, ids.count())
+    return materialize(some.mapInArrow(run, "id long, size int, sketch binary, set binary"), "sets")
 
 
 def _unpacked(b: bytes) -> np.ndarray:
@@ -502,8 +498,8 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles")).first()
     shards = 1 + int(total["shingles"] or 0) // (1 << 20)
     table, df, least = _table(materialize(frequent_shingles(docs, max(12, shards)), "frequent"))
-    firsts = _some(docs, classes.where("n > 3 and class_id is not null").select(F.col("class_id").alias("id")), total["n"])
-    postings = materialize(hub_pairs(index(firsts, table, df, least)), "postings")
+    firsts, keep = _some(docs, classes.where("n > 3 and class_id is not null").select(F.col("class_id").alias("id")), total["n"])
+    postings = materialize(hub_pairs(index(firsts, keep, table, df, least)), "postings")
     sets = set_table(docs, postings.select("id").union(postings.select("hub")))
     links = verified(postings.where("fits").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), sets)
     label = components(links)
