@@ -185,12 +185,31 @@ def stats_of(t):
 def test_binomial_tail_and_certified_cutoffs():
     for n, k, p in ((10, 0, 0.1), (30, 3, 0.2), (200, 5, 0.01), (5, 5, 0.5)):
         assert math.isclose(quality.tail(k, n, p), min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))), rel_tol=1e-9)
-    c = np.zeros((2, 2, quality.STEPS + 1), dtype=np.int64)
-    c[:, 1, 2], c[:, 0, 40] = 5000, 500  # good documents are low, bad ones high
-    assert quality.choose({("en", "symbols"): c}, ["en"]) == {("en", "symbols"): 3}
-    c[1, 1, 50], c[:, 0, 60] = 200, 100  # too many good ones above on the holdout
-    assert quality.choose({("en", "symbols"): c}, ["en"]) == {("en", "symbols"): 51}
-    assert quality.choose({("en", "symbols"): c // 1000}, ["en"]) == {}
+    # nothing of n rejected is enough from least_holdout on, and not before
+    for strata in (1, 4, 30):
+        n = quality.least_holdout(strata)
+        assert quality.certified([0], n, strata) == 1 and quality.certified([0], n - 1, strata) == 0
+    assert quality.certified([0, 3, 90, 90], 1000, 1) == 2  # the sequence ends at the first that fails
+    assert quality.certified([], 1000, 1) == 0 == quality.certified([0], 0, 1)
+
+
+def test_strata_are_chosen_by_size():
+    assert quality.choose_strata({"=a": 5000, "=b": 400, "=c": 20, "null": 10}) == ["=a", "=b"]
+    assert quality.choose_strata({}) == [] == quality.choose_strata({"=a": 3})
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, quality.STEPS), min_size=5, max_size=5), st.booleans()), min_size=1, max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_chains_are_nested(rows):
+    got = quality.chain(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    assert all(x >= y for a, b in zip(got, got[1:], strict=False) for x, y in zip(a, b, strict=True))
+    assert len(set(got)) == len(got)
+
+
+def test_chain_lies_between_good_and_bad():
+    bins = np.array([[2, 0, 0, 0, 0]] * 100 + [[40, 0, 0, 0, 0]] * 20)
+    got = quality.chain(bins, np.arange(120) < 100)
+    assert got[0] > got[-1] and 2 < got[-1][0] <= 40 and got[-1][1:] == (quality.STEPS + 1,) * 4
 
 
 @given(st.lists(st.sampled_from(["system", "user", "assistant", "tool", None]), min_size=1, max_size=5), st.integers(1, 4))
@@ -222,11 +241,15 @@ def test_repair_costs_least_and_is_legal(roles, cut):
 def test_archives():
     html = [f"<html><body>{'page text ' * (i % 50)}{i}</body></html>".encode() for i in range(300)]
     records = [warc.record(i, f"http://x/{i}", h, "d", None, len(h)) for i, h in enumerate(html)] + [warc.record(7, None, b"", "d", 3, 0)]
-    data = warc.archive(records)
-    assert list(warc.read_archive(data)) == records and len(data) < sum(map(len, records)) / 2
+    data, places = warc.archive(records)
+    assert list(warc.read_archive(data)) == records == list(warc.read_archive(data, places)) and len(data) < sum(map(len, records)) / 2
     assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and int.from_bytes(data[4:8], "little") > 0
     assert [warc.parse(r)[1] for r in records[:300]] == html
-    assert list(warc.read_archive(warc.archive(records[:2]))) == records[:2]  # too few for a dictionary
+    large = [*records[:2], np.random.default_rng(3).bytes(3 * warc.PIECE)]
+    assert list(warc.read_archive(warc.archive(large)[0])) == large  # too few for a dictionary; a frame of several pieces
+    assert list(warc.read_archive(*warc.archive([]))) == []
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.read_archive(data[:-5]))
 
 
 def test_license_cases():

@@ -113,17 +113,56 @@ def test_dense_group_below_the_limit(monkeypatch, spark, short, block, most):
     assert made[0].count() < 2 * made[0].distinct().count() + 160
 
 
+def bins_of(text):
+    """The rules' bins of a text, without the library's statistics."""
+    w, x = WORD.findall(text or ""), text or ""
+    lines = [y for y in x.split("\n") if WORD.search(y)]
+    windows = list(zip(w, w[1:], w[2:], strict=False))
+    twice = {y for y, n in collections.Counter(windows).items() if n > 1}
+    again = len({i + k for i, y in enumerate(windows) if y in twice for k in range(3)})
+    ratio = lambda a, b, top: min(quality.STEPS, int(a / b * (quality.STEPS / top))) if b else 0
+    n = len(w)
+    return n, again, (ratio(len(re.findall(r"[#*$%&|<>]", x)), n, 2.0), ratio(len(lines) - len(set(lines)), len(lines), 1.0), ratio(again, n, 1.0), ratio(sum(map(len, w)), n, 32.0), ratio(len(lines), n, 1.0))
+
+
 def test_quality(rows, docs, labels):
     got = quality.quality_rules(docs, labels).collect()
     assert len(got) == len(rows)
-    by = {r["doc_id"]: r for r in got}
-    for r in rows:
-        w = WORD.findall(r[1] or "")
-        assert by[r[0]]["n_words"] == len(w)
-        if by[r[0]]["base_failed"]:
-            assert not by[r[0]]["kept"]
+    assert list(got[0].asDict())[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        n, again, _ = bins_of(text[r["doc_id"]])
+        assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (n, again, n < 50 or 100 * again > 50 * n)
+        assert r["kept"] == (not r["base_failed"])  # too few labels for any test
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert quality.quality_rules(docs, labels.limit(0)).where("kept = base_failed").count() == 0
+    clash = docs.select("doc_id", "text", "lang", F.col("n").alias("q_lang"), F.col("n").alias("qq_cut_symbols"), F.col("n").alias("n_words"))
+    assert quality.keep_good(clash, labels).columns == clash.columns
+    assert quality.quality_rules(clash, labels, clash.columns).count() == len(rows)
+
+
+def test_quality_is_certified_and_kept_follows_the_cutoffs(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    own, cutoffs = quality.fit_cutoffs(docs, labels)
+    assert cutoffs
+    rows = docs.join(labels, "doc_id", "left").join(quality.quality_rules(docs, labels).select("doc_id", "base_failed", "kept"), "doc_id").collect()
+    place = {r["doc_id"]: r["p"] for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / (1 << 20)).alias("p")).collect()}
+    tests, wrong = collections.Counter(), collections.Counter()
+    for r in rows:
+        n, again, bins = bins_of(r["text"])
+        failed = n < 50 or 100 * again > 50 * n
+        stratum = "null" if r["lang"] is None else "=" + r["lang"]
+        stratum = stratum if stratum in own else quality.POOL
+        rejected = stratum in cutoffs and any(b >= c for b, c in zip(bins, cutoffs[stratum], strict=True))
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not rejected)
+        if r["quality"] == 1 and not failed and place[r["doc_id"]] >= quality.TUNE_SHARE:
+            tests[stratum] += 1
+            wrong[stratum] += rejected
+    for s in cutoffs:  # the exact test, again
+        p = sum(math.comb(tests[s], i) * quality.ALPHA**i * (1 - quality.ALPHA) ** (tests[s] - i) for i in range(wrong[s] + 1))
+        assert p <= quality.DELTA / (len(own) + 1)
+    bad = [r for r in rows if r["quality"] == 0 and not r["base_failed"]]
+    assert sum(not r["kept"] for r in bad) > 0.5 * len(bad) > 0
 
 
 def test_language_model(rows, docs):
@@ -166,26 +205,22 @@ def test_more_languages_than_a_block(spark):
     assert got.where("lang_pred = lang").count() == docs.count() and docs.select("lang").distinct().count() > 256
 
 
-def test_every_language_has_cutoffs_of_its_own(spark):
-    # 260 languages whose good documents have no symbols, and a small one whose good ones have as many as its bad ones
+def test_large_languages_have_cutoffs_of_their_own(spark):
+    # good documents of one language have no symbols; those of another have as many as its bad ones; small ones share a stratum
     body = " ".join(f"w{i}" for i in range(60))
-    n = 0
     rows, marks = [], []
-    for lang, docs in [(f"l{k:03}", 10) for k in range(258)] + [("a-small", 8), ("z-small", 8)]:
-        for i in range(docs):
-            good = i % 2
-            rows.append((n, body + " #" * (50 * (1 - good) if not lang.endswith("small") else 50), lang))
-            marks.append((n, good))
-            n += 1
+    for lang, docs in [("clean", 1200), ("noisy", 1200), *((f"l{k:03}", 10) for k in range(60)), (None, 10), ("", 10)]:
+        for _ in range(docs):
+            n = len(rows)
+            good = n % 3 > 0
+            rows.append((n, body + (" #" * 50 if lang == "noisy" or not good else ""), lang))
+            marks.append((n, int(good)))
+    rows += [(0, rows[0][1], "clean")] * 3000  # one document many times is one document
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
-    seen = {}
-    real, quality.choose = quality.choose, lambda counts, strata: seen.update(counts) or {(s, r): 10 for s, r in counts if s == "z-small" and r == "symbols"}
-    try:
-        kept = {r["doc_id"] for r in quality.quality_rules(docs, labels).where("kept").collect()}
-    finally:
-        quality.choose = real
-    assert {s for s, _ in seen} == {r[2] for r in rows}
-    assert kept == {r[0] for r in rows if r[2] != "z-small"}
+    own, cutoffs = quality.fit_cutoffs(docs, labels)
+    assert sorted(own) == ["=clean", "=noisy"] and sorted(cutoffs) == [quality.POOL, "=clean"]
+    kept = {r["doc_id"] for r in quality.quality_rules(docs, labels).where("kept").collect()}
+    assert kept == {r[0] for r in rows if r[2] == "noisy" or "#" not in r[1]}
 
 
 def test_held_out_language_accuracy(spark):
@@ -240,7 +275,7 @@ def test_leaks(spark, docs):
     assert decontam.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big = "<p>" + "x" * 200
     pages = spark.createDataFrame([(3, "u", big, 1), (1, None, big, 1), (2, "u\nv", "small", 1), (4, "u", "small", 1), (5, "u", None, 1), (6, "u", big, 1), (6, "u", big, 1), (None, "u", "é" * 60, 1)], "page_id long, url string, html string, digest int")
     got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()), key=str)
@@ -249,6 +284,11 @@ def test_warc(spark):
     want += [(i, 5, digest("small"), "response", None) for i in (2, 4)] + [(5, 0, digest(""), "response", None), (None, 120, digest("é" * 60), "response", None)]
     assert got == sorted(want, key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # a payload over an archive's size is an archive of its own, and archives are read by as many tasks
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 150)
+    again = warc.round_trip(pages)
+    assert sorted(map(tuple, again.collect()), key=str) == got
+    assert again.rdd.getNumPartitions() >= 3
 
 
 def test_chat_segments(spark, monkeypatch):
