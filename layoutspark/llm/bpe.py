@@ -2,10 +2,12 @@
 
 The automaton accepts exactly the token sequences that byte-pair merging can produce. It starts as one state with an
 arc for each base symbol, and takes the merges in order; the gadget for (a, b) -> ab turns  q -a-> s -b-> t  into an arc
-q -ab-> t  and sends the a-arcs to a copy of s without b. All arcs of one label lead to one state, and a copy differs
-from its origin in one arc, so a state is kept as (origin, missing label, merge it came with) and the whole automaton
-takes a few integers for each merge. Whether a state has an arc is read off these tables (and remembered):
-an arc ab made by merge m is in a state older than m if the arc a is, and in a newer one if its origin has it.
+q -ab-> t  and sends the a-arcs to a copy of s without b. All arcs of one label a lead to one state, and each copy lacks
+one arc more than the state before, so the states that a-arcs have led to are a sequence by time: a's first state is the
+one that its right part led to when a was made. A state is therefore a pair (label, time), and the table of transitions
+is CUT[a, b] = the merge that took arc b from a's state. Arc b stands in (a, time) unless CUT[a, b] < time, and else it
+stands there if it stands in the state below it (a's right part) or if its own origin (b's left part) does, whichever
+of a and b is younger: a few table lookups for an arc, and the automaton takes a few integers for each merge.
 
 A pre-split word is encoded by one pass over its positions: each prefix of a word has one token sequence, so each
 position is reached by one state at most, and a trie of the labels gives the arcs to try. Decoding emits arc labels.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,42 +43,33 @@ def byte_symbols() -> list[str]:
 
 @dataclass
 class Automaton:
-    """Tables over tokens (state after it, left part, merge number) and states (origin, missing label, merge number)."""
+    """Tables over tokens: parts and merge number (0: base symbol, -1: its merge never applies), and the arcs cut."""
 
     labels: dict[int, str]
     base: list[int]  # token of symbol s at s, of its word-final form at 256 + s
-    target: dict[int, int]
-    left: dict[int, int]
-    made: dict[int, int]
-    origin: list[int]
-    missing: list[int]
-    since: list[int]
+    left: list[int]
+    right: list[int]
+    made: list[int]
+    cut: dict[int, int] = field(default_factory=dict)  # a << 20 | b -> merge
     trie: dict = field(default_factory=dict)  # symbol -> node; -1 -> token
-    known: dict[int, bool] = field(default_factory=dict)
-
-    def allows(self, state: int, token: int) -> bool:
-        key = state << 20 | token
-        found = self.known.get(key)
-        if found is None:
-            q, t = state, token
-            while True:
-                if t == self.missing[q]:
-                    found = False
-                    break
-                if self.made.get(t, 0) < 0:  # a merge that never applies
-                    found = False
-                    break
-                if self.since[q] > self.made.get(t, 0):
-                    q = self.origin[q]
-                elif t in self.left:
-                    t = self.left[t]
-                else:
-                    found = True
-                    break
-            if len(self.known) > 400_000:
-                self.known.clear()
-            self.known[key] = found
-        return found
+
+    def allows(self, a: int, b: int) -> bool:
+        """Does the state that a's arcs lead to have an arc b?"""
+        made, cut = self.made, self.cut
+        if made[b] < 0:
+            return False
+        time = len(made) + 1
+        while True:
+            if cut.get(a << 20 | b, time) < time:
+                return False
+            if made[a] > made[b]:
+                time = made[a]
+                a = self.right[a]
+            elif made[b]:
+                time = min(time, made[b] + 1)  # the merge that made b took its right part from what b starts with
+                b = self.left[b]
+            else:
+                return True
 
     def matches(self, symbols: list[int], i: int) -> list[tuple[int, int]]:
         """(end, token) of the labels that stand at i, shortest first."""
@@ -95,8 +89,8 @@ class Automaton:
 
         Tries the longest arc first. A position from which no arc goes on is off the word's only path and not tried again.
         """
-        n, i, q = len(symbols), 0, 0
-        target, known, allows, matches = self.target, self.known, self.allows, self.matches
+        n, i, last = len(symbols), 0, -1
+        allows, matches = self.allows, self.matches
         stack: list[tuple[int, int, list[tuple[int, int]]]] = []
         out: list[int] = []
         dead: set[int] = set()
@@ -104,47 +98,39 @@ class Automaton:
         while True:
             while todo:
                 j, token = todo.pop()
-                if j in dead:
-                    continue
-                ok = known.get(q << 20 | token)
-                if ok or ok is None and allows(q, token):
+                if j not in dead and (last < 0 or allows(last, token)):
                     break
             else:
                 dead.add(i)
-                i, q, todo = stack.pop()
+                i, last, todo = stack.pop()
                 out.pop()
                 continue
             out.append(token)
             if j == n:
                 return out
-            stack.append((i, q, todo))
-            i, q = j, target[token]
+            stack.append((i, last, todo))
+            i, last = j, token
             todo = matches(symbols, i)
 
 
 def compile_merges(vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> Automaton:
-    symbols = byte_symbols()
+    symbols, size = byte_symbols(), max(vocabulary.values()) + 1
     base = [vocabulary[s] for s in symbols] + [vocabulary[s + END] for s in symbols]
-    a = Automaton({i: s for s, i in vocabulary.items()}, base, dict.fromkeys(base, 0), {}, {}, [0], [-1], [0])
+    a = Automaton({i: s for s, i in vocabulary.items()}, base, [-1] * size, [-1] * size, [0] * size)
     spelled = {t: (k,) for k, t in enumerate(base)}
     for m, (x, y) in enumerate(merges, 1):
         left, right, whole = vocabulary[x], vocabulary[y], vocabulary[x + y]
         if whole in spelled or left not in spelled or right not in spelled:
             raise ValueError(f"merge {m} of {x!r} and {y!r} has no single, earlier origin")
         spelled[whole] = spelled[left] + spelled[right]
-        after = a.target[left]
-        if not a.allows(after, right):
+        a.left[whole], a.right[whole] = left, right
+        if a.made[left] < 0 or not a.allows(left, right):
             a.made[whole] = -1
-            a.left[whole], a.target[whole] = left, 0
             continue
-        a.left[whole], a.made[whole], a.target[whole] = left, m, a.target[right]
-        a.origin.append(after)
-        a.missing.append(right)
-        a.since.append(m)
-        a.target[left] = len(a.origin) - 1
-    a.known.clear()
+        a.made[whole] = m
+        a.cut[left << 20 | right] = m
     for token, spelling in spelled.items():
-        if a.made.get(token, 0) >= 0:
+        if a.made[token] >= 0:
             node = a.trie
             for s in spelling:
                 node = node.setdefault(s, {})
@@ -161,14 +147,29 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
 
 
-def _unassigned(chunk: str) -> bool:
-    return not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk)
-
-
+#: Letters and numbers that Unicode 16 added, which the tokenizer knows, as first and last code points.
+UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: Capital letters that Unicode 16 and 17 added, as first and last code points and the first one's small letter.
+CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+_SMALL = {a + k: small + k for a, b, small in CAPITALS for k in range(b - a + 1)}
+_CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
 #: Stands for a character that the regex module takes for a letter of a newer Unicode version than the tokenizer's.
 _OTHER = "\ue000"
 
 
+def _unknown(c: str) -> bool:
+    return unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16)
+
+
+def _unassigned(chunk: str) -> bool:
+    return not chunk.isascii() and any(map(_unknown, chunk))
+
+
 _CONTROL = regex.compile(r"[\x1c-\x1f]")
 
 
@@ -184,77 +185,74 @@ class Tokenizer:
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = split_pattern(pattern)
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        known = self.automaton.labels | {i: s for s, i in self.special.items()}
+        self.names = [known.get(i) for i in range(max(known) + 1)]
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         # lower() knows a word-final sigma; the tokenizer lowers characters one by one
-        return text.replace("Σ", "σ").lower()
+        text = text.replace("Σ", "σ").lower()
+        return text.translate(_SMALL) if not text.isascii() and _CAPITAL.search(text) else text
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and their labels."""
+    def word(self, word: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         symbols = list(word.encode("utf-8"))
         symbols[-1] += 256
-        tokens = self.automaton.encode(symbols)
-        labels = self.automaton.labels
-        return b"".join([t.to_bytes(4, "little") for t in tokens]), " ".join([labels[t] for t in tokens])
+        return array("I", self.automaton.encode(symbols)).tobytes()
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
+    def chunk(self, chunk: str) -> bytes:
         """The same for a run without white space, which no word crosses. Two generations are remembered."""
         out = self.older.get(chunk)
         if out is None:
             if _unassigned(chunk):
-                plain = "".join(_OTHER if unicodedata.category(c) == "Cn" else c for c in chunk)
+                plain = "".join(_OTHER if _unknown(c) else c for c in chunk)
                 words = [chunk[m.start() : m.end()] for m in self.pattern.finditer(plain)]
             else:
                 words = self.pattern.findall(chunk)
             if len(words) == 1:
                 out = self.word(words[0])
             else:
-                each = [self.words.get(w) or self.word(w) for w in words]
-                out = b"".join([e[0] for e in each]), " ".join([e[1] for e in each])
+                out = b"".join([self.words.get(w) or self.word(w) for w in words])
         if len(chunk) <= LONGEST_WORD:
             if len(self.words) >= MOST_WORDS:
                 self.older, self.words = self.words, {}
             self.words[chunk] = out
         return out
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of a text's words, each as bytes."""
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
-                yield self.special[part].to_bytes(4, "little"), part
+                yield self.special[part].to_bytes(4, "little")
             elif part:
                 part = self.normal(part)
                 # split() also parts at 1C-1F, which are not white space here
                 for c in part.split() if not _CONTROL.search(part) else regex.split(f"[{_SPACE}]+", part):
                     found = self.words.get(c) or (self.chunk(c) if c else None)
-                    if found and found[0]:
+                    if found:
                         yield found
 
     def encode(self, text: str) -> list[int]:
-        ids = b"".join(p[0] for p in self.pieces(text))
-        return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
+        return ids_of(b"".join(self.pieces(text)))
 
     def decode(self, ids: list[int]) -> str:
         """Arc labels, joined by spaces as a tokenizer without a decoder does; unknown ids are left out."""
-        names = {i: s for s, i in self.special.items()}
-        return " ".join(x for x in (names.get(i, self.automaton.labels.get(i)) for i in ids) if x is not None)
-
-
-_LOADED: dict[str, Tokenizer] = {}
+        names = self.names
+        try:
+            return " ".join(map(names.__getitem__, ids))
+        except (IndexError, TypeError):
+            return " ".join(names[i] for i in ids if 0 <= i < len(names) and names[i] is not None)
 
 
-def load(path: str) -> Tokenizer:
-    """Once for each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Tokenizer(path)
-    return _LOADED[path]
+def ids_of(data: bytes) -> list[int]:
+    return array("I", data).tolist()
 
 
 def _rows(docs: DataFrame, path: str, schema: str, make) -> DataFrame:
     def run(batches):
-        t = load(path)
+        t = Tokenizer(path)  # for this task: a worker serves other stages as well
         for batch in batches:
             rows = [make(t, x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in (zip(*rows, strict=True) if rows else ([], [], [])))], ["doc_id", *(x.split()[0] for x in schema.split(", ")[1:])])
@@ -266,7 +264,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit integers), decoded; one row per row. Null text: empty."""
 
     def run(batches):
-        t = load(path)
+        t = Tokenizer(path)  # for this task: a worker serves other stages as well
         for batch in batches:
             ids = [t.encode(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -281,8 +279,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def make(t: Tokenizer, text: str) -> tuple[int, str, str]:
-        pieces = list(t.pieces(text))
-        ids = b"".join(p[0] for p in pieces)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join(p[1] for p in pieces).encode("utf-8")).hexdigest()
+        ids = b"".join(t.pieces(text))
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids_of(ids)).encode("utf-8")).hexdigest()
 
     return _rows(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
