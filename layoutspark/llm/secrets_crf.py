@@ -4,8 +4,10 @@ Tokens (runs of letters, digits and +/_.-) of a line form a sequence with the ta
 are the token's own shape (length, character classes, hex or mixed alphabets, runs), whether it or a neighbour is one
 of the words that stand near secrets, and the kind of file (share of tokens with digits, presence of assignments).
 The field is trained here on windows around the spans of the base patterns and on other windows, from at most
-TRAIN_DOCS documents with and TRAIN_DOCS without such spans; no feature names a secret's text, so the field carries
-over to secrets that no pattern knows. Tags are decoded by Viterbi. A line in which no token can outweigh the
+TRAIN_DOCS documents with and TRAIN_DOCS without such spans. So that it learns what a secret looks like and not what
+the patterns match, most windows are used again with their secret redrawn from another alphabet and their keyword
+changed or left out, and windows without a secret get one, or a decoy of like shape (dates, versions, paths, names),
+at a random place; no feature names a secret's text. So the field carries over to secrets that no pattern knows. Tags are decoded by Viterbi. A line in which no token can outweigh the
 all-outside path, transitions included, needs no decoding: its best path is known.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import random
 import re
 import zlib
 
@@ -32,6 +35,10 @@ BASE = (
 KINDS = ("assign", "access", "hex", "crf")
 #: Bounds of the training sample: documents of each sort, tokens on each side of a window's centre, windows of a document.
 TRAIN_DOCS, AROUND, WINDOWS = 1000, 16, 4
+#: Alphabets and lengths of redrawn secrets; what decoys are put together from.
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
+SHORTEST, LONGEST = 16, 64
+DECOYS = ("{n}-{n}-{n}", "{n}.{n}.{n}", "{w}_{w}_{w}", "{w}/{w}/{w}.{w}", "{w}{n}.{w}.{w}", "{n}{n}{n}{n}", "{w}{w}{w}{w}", "v{n}.{n}", "{w}-{w}-{n}", "{W}{W}{W}", "{w}{n}", "{n}{w}")
 #: Words that stand near secrets, as a fixed list.
 KEYWORDS = frozenset("password passwd pwd secret token key apikey api_key api access auth authorization bearer credential credentials private client id".split())
 WEIGHTS = 1 << 12
@@ -78,9 +85,13 @@ def features(s: tuple) -> tuple[list[int], list[int], list[int]]:
     return own, [_hash("before", x) for x in near], [_hash("after", x) for x in near]
 
 
-def file_kind(text: str, tokens: list[str]) -> tuple:
-    with_digits = sum(not t.isalpha() and any(map(str.isdigit, t)) for t in tokens[:: max(1, len(tokens) // 64)])
-    return (min(4, with_digits * 16 // max(1, min(64, len(tokens)))), "=" in text or ": " in text, '"' in text or "'" in text)
+def has_digits(s: tuple) -> bool:
+    return s[0] == "digits" or s[0] == "mixed" and s[2] > 0
+
+
+def file_kind(text: str, share: float) -> tuple:
+    """share: of all tokens of the text, those with digits."""
+    return (min(4, int(share * 16)), "=" in text or ": " in text, '"' in text or "'" in text)
 
 
 class Field:
@@ -91,6 +102,7 @@ class Field:
         self.shapes: dict[tuple, int] = {}
         self.tokens: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.digits: list[bool] = []
         self.table = np.zeros((0, 3, 3))
         self.id_of(("line",))  # id 0: a line's edge
         # the most that leaving the all-outside path can gain by transitions
@@ -101,6 +113,7 @@ class Field:
         found = self.shapes.get(s)
         if found is None:
             found = self.shapes[s] = len(self.rows)
+            self.digits.append(has_digits(s))
             own, before, after = features(s)
             # emissions that it adds to itself, to the token after it, and to the token before it
             self.rows.append(np.stack([self.weights[x].sum(axis=0) for x in (own, before, after)]))
@@ -117,7 +130,7 @@ class Field:
                 self.tokens[t] = i
             out.append(i)
         if len(self.table) < len(self.rows):
-            self.table = np.stack(self.rows)
+            self.table, self.digit = np.stack(self.rows), np.array(self.digits)
         return np.array([0, *out, 0], dtype=np.int64)
 
     def emissions(self, ids: np.ndarray, kind: tuple) -> np.ndarray:
@@ -144,7 +157,7 @@ class Field:
         if not tokens:
             return []
         ids = self.ids(tokens)
-        e = self.emissions(ids, file_kind(text, tokens))
+        e = self.emissions(ids, file_kind(text, self.digit[ids[1:-1]].mean()))
         able = (e[:, 1:].max(axis=1) - e[:, 0] + self.gain > 0) & (ids[1:-1] != 0)
         if not able.any():
             return []
@@ -165,7 +178,7 @@ class Field:
         return [(s, e, "crf") for s, e in out]
 
 
-def train(windows: list[tuple[list[str], list[int], tuple]], rounds: int = 12, batch: int = 256, penalty: float = 1e-4) -> Field:
+def train(windows: list[tuple[list[str], list[int], tuple]], rounds: int = 6, batch: int = 256, penalty: float = 1e-4) -> Field:
     """Maximum likelihood by Adam over shuffled batches; windows: (tokens, tags, file kind)."""
     weights, moves = np.zeros((WEIGHTS, 3)), np.zeros((3, 3))
     if not windows:
@@ -235,7 +248,7 @@ def _windows(text: str, seed: int) -> list[tuple[list[str], list[int], tuple]]:
     places = [(m.group(), *m.span()) for m in TOKEN.finditer(text)]
     if not places:
         return []
-    kind = file_kind(text, [p[0] for p in places])
+    kind = file_kind(text, sum(p[0] != "\n" and has_digits(shape(p[0])) for p in places) / len(places))
     tags = [0] * len(places)
     starts = np.array([p[1] for p in places])
     for _, pattern, group, least in BASE:
@@ -252,8 +265,50 @@ def _windows(text: str, seed: int) -> list[tuple[list[str], list[int], tuple]]:
     return [([p[0] for p in places[max(0, c - AROUND) : c + AROUND]], tags[max(0, c - AROUND) : c + AROUND], kind) for c in centres]
 
 
+def redrawn(windows: list[tuple[list[str], list[int], tuple]], seed: int = 5) -> list[tuple[list[str], list[int], tuple]]:
+    """One more window for each: with its secrets and keywords changed, or with a secret or a decoy put in."""
+    rng = random.Random(seed)
+    keywords = sorted(KEYWORDS)
+    pick = lambda low, high: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+
+    def secret() -> list[str]:
+        letters = rng.choice(ALPHABETS)
+        body = "".join(rng.choice(letters) for _ in range(rng.randint(SHORTEST, LONGEST)))
+        return TOKEN.findall(rng.choice(("", "", "", pick(2, 4) + "_", pick(2, 3) + "-")) + body)
+
+    def decoy() -> list[str]:
+        made = rng.choice(DECOYS)
+        while "{" in made:
+            made = made.replace("{n}", str(rng.randrange(10 ** rng.randint(1, 5))), 1).replace("{w}", pick(2, 9), 1).replace("{W}", pick(2, 9).title(), 1)
+        return TOKEN.findall(made)
+
+    out = []
+    for tokens, tags, kind in windows:
+        new: list[tuple[str, int]] = []
+        if any(tags):
+            for i, (token, tag) in enumerate(zip(tokens, tags, strict=True)):
+                if tag == 1:
+                    new += [(t, 1 + (k > 0)) for k, t in enumerate(secret())]
+                elif tag == 0 and token.lower() in KEYWORDS and 1 in tags[i : i + 4]:
+                    new += [(rng.choice(keywords), 0)] if rng.random() < 0.7 else []
+                elif tag == 0:
+                    new.append((token, 0))
+        else:
+            at = rng.randrange(len(tokens) + 1)
+            new = [(t, 0) for t in tokens[:at]]
+            if rng.random() < 0.4:
+                new += [(rng.choice(keywords), 0)] * (rng.random() < 0.7) + [(t, 1 + (k > 0)) for k, t in enumerate(secret())]
+            else:
+                new += [(rng.choice(keywords), 0)] * (rng.random() < 0.2) + [(t, 0) for t in decoy()]
+            new += [(t, 0) for t in tokens[at:]]
+        if new:
+            out.append(([t for t, _ in new], [tag for _, tag in new], kind))
+    return out
+
+
 def fit(docs: DataFrame) -> Field:
-    """Trains on the documents with the smallest hashes of doc_id among those with and those without base spans."""
+    """Trains on the documents with the smallest hashes of doc_id among those with and those without base spans; a
+    repeated doc_id gives no more windows than a single one."""
     docs = documents(docs)
 
     def hits(batches):
@@ -270,13 +325,15 @@ def fit(docs: DataFrame) -> Field:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             at = [i for i, d in enumerate(ids) if d in chosen.value]
-            got = [(ids[i], w) for i, x in zip(at, batch.column("text").take(pa.array(at, pa.int64())).to_pylist(), strict=True) for w in _windows(x or "", abs(ids[i]) + 1)]
+            got = [(ids[i], k, w) for i, x in zip(at, batch.column("text").take(pa.array(at, pa.int64())).to_pylist(), strict=True) for k, w in enumerate(_windows(x or "", abs(ids[i]) + 1))]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([w[0] for _, w in got], pa.list_(pa.string())), pa.array([w[1] for _, w in got], pa.list_(pa.int32())), pa.array([repr(w[2]) for _, w in got])], ["doc_id", "tokens", "tags", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in got], pa.int64()), pa.array([k for _, k, _ in got], pa.int32()), pa.array([w[0] for _, _, w in got], pa.list_(pa.string())), pa.array([w[1] for _, _, w in got], pa.list_(pa.int32())), pa.array([repr(w[2]) for _, _, w in got])], ["doc_id", "k", "tokens", "tags", "kind"])
 
-    rows = docs.mapInArrow(cut, "doc_id long, tokens array<string>, tags array<int>, kind string").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["tokens"]))
-    return train([(r["tokens"], r["tags"], ast.literal_eval(r["kind"])) for r in rows])
+    found = docs.mapInArrow(cut, "doc_id long, k int, tokens array<string>, tags array<int>, kind string")
+    rows = found.groupBy("doc_id", "k").agg(F.min(F.struct("tokens", "tags", "kind")).alias("w")).select("doc_id", "k", "w.*").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["k"]))
+    windows = [(r["tokens"], r["tags"], ast.literal_eval(r["kind"])) for r in rows]
+    return train(windows + redrawn(windows))
 
 
 def all_spans(field: Field, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -314,7 +371,9 @@ def secret_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", field: Field | None = None) -> DataFrame:
-    """The rows of docs (all columns) with every span of text replaced by mark; n_chars, if there, follows the new text."""
+    """The rows of docs (all columns, of any name) with every span of text replaced by mark; n_chars, if there, follows the
+    new text. Overlapping spans are one replacement. Null and empty texts stay as they are, repeated rows are treated
+    alike, a null doc_id like any other; an empty table stays empty."""
     small_batches(docs.sparkSession)
     field = field or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.moves))
