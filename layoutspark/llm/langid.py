@@ -2,8 +2,8 @@
 
 Counts of hashed 1- to 3-grams by language are gathered from all training documents: each task adds up a table of
 BUCKETS counts for each language it meets, and the tables are summed by bucket. The matrix of smoothed log
-probabilities of all languages is broadcast (languages x BUCKETS floats), and batches are scored as sparse rows: the n-grams of a batch
-become bucket numbers with text bounds, and each language's row is gathered and summed between the bounds.
+probabilities of all languages is broadcast (languages x BUCKETS floats). The n-grams of a batch become pairs of text and
+bucket, the sparse rows of the batch; their counts, of STRETCHES texts at a time, are multiplied with the matrix.
 """
 
 from __future__ import annotations
@@ -20,40 +20,45 @@ from .store import materialize, small_batches
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Characters scored at once; a longer text is scored in pieces that overlap by an n-gram.
-PIECE = 1 << 18
+#: Characters, and texts or pieces of texts, scored at once; a longer text is cut into pieces, each n-gram being in one.
+PIECE, STRETCHES = 1 << 18, 256
 #: Languages counted, gathered and scored at once; there is no limit to their number.
 LANGS = 256
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(code points, bounds, index of the text each stretch belongs to), about PIECE characters at a time."""
-    held, of, total = [], [], 0
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, bounds, index of the text each stretch belongs to, whether it goes on from the stretch before).
+
+    A stretch that goes on repeats the last max(ORDERS) - 1 characters before it.
+    """
+    held, of, on, total = [], [], [], 0
     for i, text in enumerate(texts):
         low = text.lower()
-        step = PIECE - max(ORDERS) + 1
+        step = max(1, PIECE - max(ORDERS) + 1)
         for at in range(0, max(1, len(low)), step):
-            part = low[at : at + PIECE]
+            part = low[at : at + step + max(ORDERS) - 1]
             if at and len(part) < max(ORDERS):
                 break
             held.append(part)
             of.append(i)
+            on.append(at > 0)
             total += len(part)
-            if total >= PIECE:
-                yield _points(held, of)
-                held, of, total = [], [], 0
+            if total >= PIECE or len(held) >= STRETCHES:
+                yield _points(held, of, on)
+                held, of, on, total = [], [], [], 0
     if held:
-        yield _points(held, of)
+        yield _points(held, of, on)
 
 
-def _points(held: list[str], of: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _points(held: list[str], of: list[int], on: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return points, np.cumsum([0, *map(len, held)]), np.array(of)
+    return points, np.cumsum([0, *map(len, held)]), np.array(of), np.array(on)
 
 
-def grams(points: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of the n-grams of each order that lie inside one text."""
+def grams(points: np.ndarray, bounds: np.ndarray, on: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, stretch) of the n-grams of each order that lie inside one stretch and were not in the one before."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = np.arange(len(points)) - bounds[:-1][text] if on.any() else None
     h = np.zeros(len(points), dtype=np.uint32)
     for n in range(1, max(ORDERS) + 1):
         full = len(points) - n + 1
@@ -62,6 +67,8 @@ def grams(points: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
         h = h[:full] * np.uint32(0x01000193) + points[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
         if n in ORDERS:
             inside = text[:full] == text[n - 1 :]
+            if place is not None:
+                inside &= ~on[text[:full]] | (place[:full] >= max(ORDERS) - n)
             x = h ^ (h >> np.uint32(15))
             yield (((x * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1))[inside]).astype(np.int64), text[:full][inside]
 
@@ -85,8 +92,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for lang in dict.fromkeys(langs):
                 own = tables.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for points, bounds, _ in pieces([t for t, x in zip(texts, langs, strict=True) if x == lang]):
-                    for bucket, _ in grams(points, bounds):
+                for points, bounds, _, on in pieces([t for t, x in zip(texts, langs, strict=True) if x == lang]):
+                    for bucket, _ in grams(points, bounds, on):
                         own += np.bincount(bucket, minlength=BUCKETS)
             if len(tables) > LANGS:
                 yield from send(tables)
@@ -110,13 +117,13 @@ class Model:
 
     def score(self, texts: list[str], first: int = 0, end: int | None = None) -> np.ndarray:
         """Log probabilities up to a constant, texts x languages (from first to end)."""
-        logs = self.logs[first:end]
+        logs = self.logs[first:end].T.astype(float)
         out = np.tile(self.priors[first:end], (len(texts), 1))
-        for points, bounds, of in pieces(texts):
-            for bucket, text in grams(points, bounds):
-                for k in range(len(logs)):
-                    sums = np.bincount(text, logs[k][bucket], minlength=len(of))
-                    np.add.at(out[:, k], of, sums)
+        for points, bounds, of, on in pieces(texts):
+            counts = np.zeros(len(of) * BUCKETS)
+            for bucket, stretch in grams(points, bounds, on):
+                counts += np.bincount(stretch * BUCKETS + bucket, minlength=len(counts))
+            np.add.at(out, of, counts.reshape(len(of), BUCKETS) @ logs)
         return out
 
     def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
