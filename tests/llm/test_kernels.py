@@ -325,10 +325,54 @@ def test_base_spans():
     assert s("secret=" + "0a" * 12) == [(0, 31, "assign"), (7, 31, "hex")]
 
 
-@given(st.lists(st.text(max_size=30), min_size=1, max_size=5))
-@settings(max_examples=60, deadline=None)
-def test_language_scores_do_not_depend_on_pieces(texts):
-    model = langid.Model(["a", "b"], np.random.default_rng(1).random((2, langid.BUCKETS)), np.array([1.0, 2.0]))
-    whole = model.score(texts)
-    for i, t in enumerate(texts):
-        assert np.allclose(whole[i], model.score([t])[0], atol=1e-3)
+def gram_counts(text):
+    """Buckets of all 1- to 3-grams of the lower-cased text, one by one."""
+    low, out, m = text.lower(), np.zeros(langid.BUCKETS), 1 << 32
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            h = 0
+            for k, c in enumerate(low[i : i + n], 1):
+                h = (h * 0x01000193 + ord(c) * 0x9E3779B1 + k) % m
+            out[((h ^ (h >> 15)) * 0x85EBCA6B % m) >> (32 - 13)] += 1
+    return out
+
+
+@pytest.mark.parametrize(("piece", "stretches"), [(1 << 18, 256), (5, 3), (3, 1), (16, 2)])
+@given(st.lists(st.text(max_size=60), min_size=1, max_size=5))
+@settings(max_examples=40, deadline=None)
+def test_language_scores_are_those_of_all_grams(piece, stretches, texts):
+    old = langid.PIECE, langid.STRETCHES
+    langid.PIECE, langid.STRETCHES = piece, stretches
+    try:
+        model = langid.Model(["a", "b"], np.random.default_rng(1).random((2, langid.BUCKETS)), np.array([1.0, 2.0]))
+        got = model.score(texts)
+    finally:
+        langid.PIECE, langid.STRETCHES = old
+    want = np.array([model.priors + model.logs.astype(float) @ gram_counts(t) for t in texts])
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_hidden_secrets_are_found():
+    """Secrets that no base pattern matches, in texts of which the field has seen none: recall and precision."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(["the", "of", "and", "anblewh", "thonre", "erinst", "12", "3.5", "555-7713", "a@b7.example.com", "10.0.0.7"])
+    prose = lambda n: [word() for _ in range(n)]
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    known = ['token = "' + draw("0123456789abcdef", 40) + '"' for _ in range(150)]
+    texts = [" ".join([*prose(rng.randint(5, 60)), k, *prose(rng.randint(5, 60))]) for k in known] + [" ".join(prose(rng.randint(20, 120))) for _ in range(400)]
+    windows = [w for i, t in enumerate(texts) for w in secrets_crf._windows(t, i + 1)]
+    field = secrets_crf.train(windows + secrets_crf.redrawn(windows))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = extra = total = 0
+    for form in ("bearer {}", "passwd is {}", "private-key {}", "{}", "credential: '{}'") * 40:
+        secret = "Q" + draw(upper + upper.lower() + "0123456789+/", rng.randint(22, 46)) + "9z"
+        text = " ".join([*prose(rng.randint(3, 60)), form.format(secret), *prose(rng.randint(3, 60))])
+        at = text.index(secret)
+        base, both = secrets_crf.all_spans(field, text)
+        if base:
+            continue
+        hit = [(s, e) for s, e, _ in both if s <= at and e >= at + len(secret)]
+        total, found, extra = total + 1, found + bool(hit), extra + len(both) - len(hit)
+    assert total > 150 and found >= 0.95 * total and extra <= 0.05 * total
+    assert sum(bool(field.spans(" ".join(prose(80)))) for _ in range(300)) <= 6
+    assert secrets_crf.train([]).spans("token abc") == []
