@@ -3,13 +3,14 @@
 The model interpolates bigrams with the additive unigram model: p(w | h) = L c(hw) / c(h) + (1 - L) p(w), where p(w) is
 the base model and an unseen h leaves p(w) alone. Counts come from all training documents and are spread over shards.
 
-The trie's first level is the vocabulary: word hashes in order, cut into ranges, with their counts; a word's rank is
-its id. The second level holds the successors of each context, dealt to shards by a hash of the pair, so a frequent
+The trie's first level is the vocabulary: word hashes in order, cut into ranges, each an Elias-Fano sequence, with their
+counts; a word's rank is its id. The second level holds the successors of each context, dealt to shards by a hash of the pair, so a frequent
 context is in all of them. A shard keeps three Elias-Fano sequences: its contexts, the pointers to each context's
 successors, and the successors as context rank * universe + word, which is monotone; and for each successor the
-smoothed weight L c(hw) / c(h), quantised to 8 bits on a log scale. A query finds the context's rank, then looks for
-the word's successor entry inside the context's pointer range only. Levels are files in the shared folder, mapped into
-memory by every task that scores (read at once where the folder is no local path), so the model may outgrow a task.
+smoothed weight L c(hw) / c(h), quantised to 8 bits on a log scale. A query finds the context's rank, reads the range of
+its successors off the pointers, and looks for the word inside that range only. Levels are files in the shared folder,
+mapped into memory by every task that scores; a task keeps MOST_OPEN of them open and visits only those that a slice of
+texts asks for, so the model may outgrow a task.
 """
 
 from __future__ import annotations
@@ -34,15 +35,30 @@ WEIGHT, ADD = 0.6, 0.1
 #: Tokens that a task gathers before it sends counts, and tokens for each shard.
 FLUSH, SHARD = 1 << 19, 1 << 20
 END = U(0xE0D0E0D0E0D0E0D1)
+#: Bytes of texts that are looked up together.
+GATHER = 6 << 20
+#: Files of a level that a task keeps open.
+MOST_OPEN = 256
 #: 8-bit log scale: 256 levels over so many decades.
 DECADES = 10.0
 
 
+def select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the one bit with this rank in each 64-bit word, by halving."""
+    place, rank = np.zeros(len(words), dtype=np.int64), rank.astype(np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        ones = np.bitwise_count((words >> place.astype(np.uint64)) & U((1 << width) - 1)).astype(np.int64)
+        right = rank >= ones
+        place += width * right
+        rank -= ones * right
+    return place
+
+
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary, with the zeros before each 64-bit word as directory."""
+    """A monotone sequence: low bits packed, high bits in unary. Directories: zeros and ones before each 64-bit word."""
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray) -> None:
-        self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        self.n, self.bits, self.low, self.high, self.zeros, self.ones = n, bits, low, high, zeros, ones
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -53,7 +69,8 @@ class EliasFano:
         unary = np.zeros(-(-length // 64) * 64, dtype=np.uint8)
         unary[high + np.arange(n)] = 1
         word = np.packbits(unary, bitorder="little").view(np.uint64)
-        zeros = np.concatenate(([0], np.cumsum(64 - unary.reshape(-1, 64).sum(axis=1, dtype=np.int64)))).astype(np.int64)
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(word), dtype=np.int64))).astype(np.int64)
+        zeros = np.arange(len(word) + 1, dtype=np.int64) * 64 - ones
         low = np.zeros(-(-n * bits // 64) + 2, dtype=np.uint64)
         if bits:
             at = np.arange(n, dtype=np.int64) * bits
@@ -62,7 +79,7 @@ class EliasFano:
             np.bitwise_or.at(low, at >> 6, value << shift)
             spill = shift + U(bits) > U(64)
             np.bitwise_or.at(low, (at[spill] >> 6) + 1, value[spill] >> (U(64) - shift[spill]))
-        return cls(n, bits, low, word, zeros)
+        return cls(n, bits, low, word, zeros, ones)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -81,43 +98,41 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k, "right") - 1
         past = word >= len(self.high)
         word = np.minimum(word, len(self.high) - 1)
-        inside = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(word) else np.zeros((0, 64), np.uint8)
-        place = (np.cumsum(1 - inside, axis=1, dtype=np.int64) > (k - self.zeros[word])[:, None]).argmax(axis=1)
+        place = select(~self.high[word], np.where(past, 0, k - self.zeros[word]))
         out[some] = np.where(past, self.n, np.minimum(self.n, word * 64 + place - k))
         return out
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 if it is not there: its high part's run, then a binary search by low bits."""
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value between the indices first and last (exclusive), -1 if it is not there: the run of its high
+        part within these bounds, then a binary search by low bits."""
         high = (values >> U(self.bits)).astype(np.int64)
         lo, hi = self.before(high), self.before(high + 1)
+        if first is not None:
+            lo, hi = np.maximum(lo, first), np.minimum(hi, last)
         want, end = values & U((1 << self.bits) - 1), hi.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.lows(mid) < want[open_]
             lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         ok = lo < end
         ok[ok] = self.lows(lo[ok]) == want[ok]
         return np.where(ok, lo, -1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values by index."""
-        ones = np.arange(1, len(self.high) + 1) * 64 - self.zeros[1:]  # ones up to each word's end
-        word = np.searchsorted(ones, i, "right")
-        inside = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(word) else np.zeros((0, 64), np.uint8)
-        rank = i - np.concatenate(([0], ones))[word]
-        place = (np.cumsum(inside, axis=1, dtype=np.int64) > rank[:, None]).argmax(axis=1)
+        word = np.searchsorted(self.ones, i, "right") - 1
+        place = select(self.high[word], i - self.ones[word])
         return (word * 64 + place - i).astype(np.uint64) << U(self.bits) | self.lows(i)
 
     def parts(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "zeros": self.zeros, "shape": np.array([self.n, self.bits], dtype=np.int64)}
+        return {"low": self.low, "high": self.high, "zeros": self.zeros, "ones": self.ones, "shape": np.array([self.n, self.bits], dtype=np.int64)}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, bits = arrays[f"{name}.shape"].tolist()
-        return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.zeros"])
+        return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.zeros"], arrays[f"{name}.ones"])
 
 
 def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> int:
@@ -151,6 +166,34 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
     return {k: data[8 + n + at : 8 + n + at + np.dtype(kind).itemsize * size].view(kind) for k, (kind, at, size) in json.loads(bytes(data[8 : 8 + n])).items()}
 
 
+def shelved(shelf: dict, key: int, make):
+    """shelf[key], made if it is not there; the shelf keeps the MOST_OPEN last ones made."""
+    if key not in shelf:
+        while len(shelf) >= MOST_OPEN:
+            del shelf[next(iter(shelf))]
+        shelf[key] = make()
+    return shelf[key]
+
+
+def runs(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, last) of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+    yield from zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True) if len(of) else ()
+
+
+def larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GATHER bytes, so that a visit to a file answers many queries."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= GATHER:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with an END after each text, and bounds."""
     hashes, bounds, _, _ = words(data, off)
@@ -167,37 +210,36 @@ class Vocabulary:
         self.folder, self.shards, self.total = folder, shards, total
         self.sizes = sizes
         self.first = np.cumsum([0] + [sizes.get(s, 0) for s in range(shards)])
-        self.open: dict[int, dict[str, np.ndarray]] = {}
+        self.starts = range_starts(shards)
+        self.open: dict[int, tuple[EliasFano, np.ndarray]] = {}
 
     @property
     def size(self) -> int:
         return int(self.first[-1])
 
-    def level(self, s: int) -> dict[str, np.ndarray]:
-        if s not in self.open:
-            self.open[s] = load(self.folder, f"words-{s:06d}")
-        return self.open[s]
+    def level(self, s: int) -> tuple[EliasFano, np.ndarray]:
+        def make():
+            a = load(self.folder, f"words-{s:06d}")
+            return EliasFano.of(a, "hash"), a["count"]
+
+        return shelved(self.open, s, make)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of sorted hashes."""
         ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        cut = np.searchsorted(hashes, range_starts(self.shards))
-        for s, (a, b) in enumerate(zip(cut, [*cut[1:], len(hashes)], strict=True)):
-            if b > a and self.sizes.get(s):
-                level = self.level(s)
-                at = np.minimum(np.searchsorted(level["hash"], hashes[a:b]), len(level["hash"]) - 1)
-                ok = level["hash"][at] == hashes[a:b]
-                ids[a:b] = np.where(ok, at + self.first[s], -1)
-                counts[a:b] = np.where(ok, level["count"][at], 0)
+        for s, a, b in runs(np.searchsorted(self.starts, hashes, "right") - 1):
+            if self.sizes.get(s):
+                sequence, count = self.level(s)
+                at = sequence.find(hashes[a:b] - self.starts[s])
+                ids[a:b] = np.where(at >= 0, at + self.first[s], -1)
+                counts[a:b] = np.where(at >= 0, count[at], 0)
         return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of sorted ids."""
         out = np.zeros(len(ids), dtype=np.int64)
-        cut = np.searchsorted(ids, self.first)
-        for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                out[a:b] = self.level(s)["count"][ids[a:b] - self.first[s]]
+        for s, a, b in runs(np.searchsorted(self.first, ids, "right") - 1):
+            out[a:b] = self.level(s)[1][ids[a:b] - self.first[s]]
         return out
 
 
@@ -222,9 +264,9 @@ def _merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
 def _gathered(batches, keys_of, cuts) -> Iterator[pa.RecordBatch]:
     """Sends the counts of the keys of each FLUSH tokens."""
     held, total = [], 0
-    for batch in batches:
+    for batch in larger(batches):
         data, off = buffers(batch.column("text"))
-        for i, j in slices(np.diff(off)):
+        for i, j in slices(np.diff(off), GATHER):
             part = token_hashes(data, off[i : j + 1])
             held.append(keys_of(*part))
             total += len(held[-1])
@@ -248,28 +290,26 @@ class Model:
         return (mix(pairs) % U(self.shards)).astype(np.int64)
 
     def level(self, s: int) -> tuple[EliasFano, EliasFano, EliasFano, np.ndarray]:
-        if s not in self.open:
+        def make():
             a = load(self.words.folder, f"pairs-{s:06d}")
-            self.open[s] = *(EliasFano.of(a, k) for k in ("contexts", "pointers", "successors")), a["weight"]
-        return self.open[s]
+            return *(EliasFano.of(a, k) for k in ("contexts", "pointers", "successors")), a["weight"]
+
+        return shelved(self.open, s, make)
 
     def weights(self, pairs: np.ndarray) -> np.ndarray:
         """L c(hw) / c(h), dequantised, of distinct pairs (context << 32 | word); 0 where the pair is unseen."""
         out = np.zeros(len(pairs))
         shard = self.shard_of(pairs)
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b == a or s not in self.full:
+        for s, a, b in runs(shard[order]):
+            if s not in self.full:
                 continue
             contexts, pointers, successors, weight = self.level(s)
             at = order[a:b]
             rank = contexts.find(pairs[at] >> U(32))
             at, rank = at[rank >= 0], rank[rank >= 0]
-            place = successors.find(rank.astype(np.uint64) * U(self.universe) + (pairs[at] & U(0xFFFFFFFF)))
-            ok = place >= 0
-            inside = (place[ok] >= pointers.get(rank[ok]).astype(np.int64)) & (place[ok] < pointers.get(rank[ok] + 1).astype(np.int64))
-            out[at[ok][inside]] = dequantise(weight[place[ok][inside]])
+            own = successors.find(rank.astype(np.uint64) * U(self.universe) + (pairs[at] & U(0xFFFFFFFF)), *(pointers.get(r).astype(np.int64) for r in (rank, rank + 1)))
+            out[at[own >= 0]] = dequantise(weight[own[own >= 0]])
         return out
 
     @property
@@ -311,7 +351,9 @@ def fit(docs: DataFrame) -> Model:
 
     def write_words(table: pa.Table) -> pa.Table:
         s, keys, counts = _merged(table)
-        save(folder, f"words-{s:06d}", {"hash": keys, "count": counts})
+        width = (1 << 64) // shards + 1
+        sequence = EliasFano.build(keys - starts[s], width)
+        save(folder, f"words-{s:06d}", {f"hash.{k}": a for k, a in sequence.parts().items()} | {"count": counts})
         return pa.table({"shard": [s], "size": [len(keys)], "total": [int(counts.sum())]}, schema=pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("total", pa.int64())]))
 
     kind = "shard int, keys binary, counts binary"
@@ -391,9 +433,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches):
         folder, shards, sizes, total, more, full = shared.value
         model = Model(Vocabulary(folder, shards, sizes, total), more, full)
-        for batch in batches:
+        for batch in larger(batches):
             data, off = buffers(batch.column("text"))
-            for i, j in slices(np.diff(off)):
+            for i, j in slices(np.diff(off), GATHER):
                 n, known, base, whole = score(model, data, off[i : j + 1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(j - i, total), pa.int64()), pa.array(base), pa.array(whole)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
