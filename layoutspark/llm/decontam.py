@@ -32,8 +32,8 @@ from .tokens import U, buffers, mix, slices, words
 #: Word edits allowed, as a share of the item's words.
 EDITS = 0.2
 WALKS, BANDS, ROWS = 3, 8, 3
-#: Items in one pass: bounds what is broadcast. More items are taken in blocks.
-BLOCK = 20_000
+#: Items, and bytes of their texts, in one pass: bounds what is broadcast. More are taken in blocks.
+BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 #: Least words of a segment of a long item. A segment, and a walk, is shorter than _PAD.
 SEGMENT = 32
 _PAD = 2 * SEGMENT
@@ -203,10 +203,10 @@ def leaks(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[in
 
 
 def _blocks(benchmark: DataFrame) -> list[tuple[list, pa.Array]]:
-    """The items in blocks of about BLOCK."""
+    """The items in blocks of about BLOCK items or BLOCK_BYTES, whichever is less; one block at a time is on the driver."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = items.count()
-    blocks = -(-n // BLOCK) if n else 0
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(-(-size["n"] // BLOCK), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     for k in range(blocks):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").toArrow()
         yield got.column("item_id").to_pylist(), got.column("text")
@@ -243,7 +243,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) in which no item is found; nothing is shuffled."""
+    """The rows of docs (all columns, of any name) in which no item is found; nothing is shuffled.
+
+    Null, empty and wordless texts hold no item and stay; repeated rows are judged alike; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     for ids, texts in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(Items(ids, texts))
