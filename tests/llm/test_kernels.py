@@ -139,20 +139,32 @@ def test_leak_recall_at_the_allowed_edits():
     assert got <= set(want) and len(got) >= 0.9 * len(want)
 
 
-@pytest.mark.parametrize("m", (31, 63, 100, 200, 400))
-@pytest.mark.parametrize("gathered", ("start", "middle", "end"))
-def test_leak_recall_of_gathered_edits(m, gathered):
+@pytest.mark.parametrize("m", (5, 12, 31, 63, 100, 200, 500))
+@pytest.mark.parametrize("edits", ("start", "middle", "end", "both ends", "spread"))
+def test_leak_recall_wherever_the_edits_lie(m, edits):
+    """Against an exhaustive search: the least edit distance of each item to any run of each text."""
     rng = random.Random(m)
     word = lambda: f"w{rng.randrange(10**6)}"
-    benchmark = [[word() for _ in range(m)] for _ in range(40)]
-    items = decontam.Items(list(range(40)), pa.array([" ".join(x) for x in benchmark]))
-    k = m // 5
-    a = {"start": 0, "middle": (m - k) // 2, "end": m - k}[gathered]
-    texts = [" ".join([word() for _ in range(20)] + x[:a] + [word() for _ in range(k * replaced)] + x[a + k :] + [word() for _ in range(20)]) for x in benchmark for replaced in (0, 1)]
+    benchmark = [[word() for _ in range(m)] for _ in range(30)]
+    items = decontam.Items(list(range(30)), pa.array([" ".join(x) for x in benchmark]))
+    k, texts = m // 5, []
+    for x in benchmark:
+        for replaced in (0, 1):
+            a = {"start": 0, "middle": (m - k) // 2, "end": m - k}.get(edits)
+            places = range(a, a + k) if a is not None else [*range(k // 2), *range(m - (k - k // 2), m)] if edits == "both ends" else rng.sample(range(m), k)
+            y = [w if i not in set(places) else word() for i, w in enumerate(x) if replaced or i not in set(places)]
+            texts.append(" ".join([word() for _ in range(20)] + y + [word() for _ in range(20)]))
     hashes, bounds, _, _ = tokens.words(*tokens.buffers(pa.array(texts)))
     got = {(a, b): d for a, b, d, *_ in decontam.leaks(items, hashes, bounds)}
-    want = {(2 * i + r, i) for i in range(40) for r in (0, 1)}
-    assert set(got) <= want and len(got) >= 0.95 * len(want) and set(got.values()) == {k}
+    want = {}
+    for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        text = hashes[a:b].tolist()
+        for i in {t // 2, rng.randrange(30)}:
+            distance, _ = decontam.best_run(items.words[i].tolist(), text)
+            if distance <= k:
+                want[t, i] = distance
+    assert len(want) == 60
+    assert all(want[x] == d for x, d in got.items()) and len(got) >= 0.9 * len(want)
 
 
 @given(st.lists(st.integers(0, 5000), max_size=60), st.lists(st.integers(0, 5200), max_size=30))
