@@ -98,8 +98,12 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> Iterator[tu
                 to = boundary
             else:  # one word longer than a chunk
                 stop = int(offsets[inside + 1])
-                while to < stop and not sep[data[to]]:
-                    to = min(stop, to + 1)
+                while to < stop:
+                    gaps = np.flatnonzero(sep[data[to : min(stop, to + CHUNK)]])
+                    if len(gaps):
+                        to += int(gaps[0])
+                        break
+                    to = min(stop, to + CHUNK)
         yield at, to
         at = to
 
