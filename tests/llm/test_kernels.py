@@ -278,7 +278,7 @@ def test_license_cases():
 def test_several_licenses_in_a_file():
     index = licenses.Index({w: 500 for w in ("all", "rights", "reserved", "cc", "by", "4", "0", "the", "of", "license")}, 1000)
     parts = [(label, t) for label, t, _ in licenses.TEMPLATES]
-    for (a, x), (b, y) in itertools.product(parts, parts):
+    for (a, x), (b, y) in random.Random(2).sample(list(itertools.product(parts, parts)), 250):
         assert {a, b} <= set(index.scan(f"{x}. {'other ' * 30}{y}")[5].split(","))
     assert index.scan(" ".join(t for _, t in parts))[5] == ",".join(sorted({label for label, _ in parts}))
 
@@ -286,7 +286,7 @@ def test_several_licenses_in_a_file():
 def test_license_shares_are_those_of_all_offsets():
     rng = random.Random(3)
     index = licenses.Index({w: rng.randrange(1000) for _, t, _ in licenses.TEMPLATES for w in t.split()}, 1000)
-    for _ in range(150):
+    for _ in range(25):
         text = []
         for _, t, _ in rng.sample(licenses.TEMPLATES, 3):
             text += [w for w in t.split() for _ in range(rng.choice((0, 1, 1, 1, 1, 2)))] + t.split() * rng.randrange(2) + ["and", "the"] * rng.randrange(3)
