@@ -4,7 +4,7 @@ A legal conversation is: system (optional), then user and assistant in turn, end
 over the automaton START, system, user, assistant chooses for each turn whether it is kept, merged into the message
 before it, relabelled, or preceded by empty turns, at least total cost; then the repaired sequence is rendered.
 
-Turns are range-partitioned by (conversation, turn) and cut into segments of SEGMENT rows, so a conversation of any
+Turns are range-partitioned by (conversation, turn) and cut into segments of SEGMENT rows at most, so a conversation of any
 length spreads over tasks. A turn's choices are a 4 x 4 matrix of costs, a segment's the (min, +) product of its
 turns'. Only conversations at a segment's edge need stitching: their products, one for SEGMENT turns, are combined in
 order and give each piece its entry and exit state; then every piece is decoded on its own.
@@ -29,7 +29,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, INSERT, RELABEL = 1, 2, 3
 FAR = 1 << 40
-SEGMENT = 4096
+#: Rows, and characters of text, of a segment, which a task holds at once.
+SEGMENT, SEGMENT_CHARS = 4096, 4 << 20
 OPEN, CLOSE, JOIN = "<|{0}|>\n", "<|end|>\n", "\n\n"
 
 
@@ -137,9 +138,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(row)
-                if len(held) == SEGMENT:
+                n += len(row[3])
+                if len(held) == SEGMENT or n >= SEGMENT_CHARS:
                     yield piece(held, part << 28 | k)
-                    held, k = [], k + 1
+                    held, k, n = [], k + 1, 0
         if held:
             yield piece(held, part << 28 | k)
 
