@@ -1,4 +1,10 @@
-"""The corpus pipeline over documents: each stage works on all rows that its predecessor kept."""
+"""The corpus pipeline over documents: each stage works on all rows that its predecessor kept.
+
+All stages but the last return all columns of their input, whatever their names. Nulls, empty texts, repeated rows and
+empty tables are treated as the operators' docstrings say: a null or wordless text does not pass the quality rules; in
+the later stages such a text is linked with nothing, holds no item and no secret, and has no tokens. Of equal texts the
+smallest doc_id stays; rows that repeat it stay with it.
+"""
 
 from __future__ import annotations
 
