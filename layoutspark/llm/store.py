@@ -35,15 +35,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of one Arrow batch: texts are long, and a batch is held by the JVM and by the Python worker.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch, which the JVM and the Python worker hold: texts are long, keys are not.
+BATCH_ROWS, BATCH_BYTES = 4096, 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batch to BATCH_ROWS rows if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Sets the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes if they are larger."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def fresh(df: DataFrame, name: str) -> str:
