@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from layoutspark.llm import bpe, chat, decontam, langid, licenses, ngram_join, ngram_lm, quality, secrets_crf, warc
+from layoutspark.llm import bpe, chat, decontam, langid, licenses, ngram_join, ngram_lm, quality, secrets_crf, store, warc
 from layoutspark.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -385,3 +386,19 @@ def test_stages_on_odd_tables(spark, docs, labels):
             out.count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == table.count()
     assert corpus_pipeline.near_duplicates(spark, odd.where("doc_id is null or text is null or text = ''"), SF).count() == odd.where("doc_id is null or text is null or text = ''").count()
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They would stay until the driver's next garbage collection, on top of all that is written until then."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {f for f in (disk.getAllFiles().apply(k).getPath() for k in range(disk.getAllFiles().size())) if "/shuffle_" in f}
+    before, kept = left(), spark.conf.get(store.CLEANUP)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    out = store.materialize(counted, "counted")
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, counted.collect()))
+    assert spark.conf.get(store.CLEANUP) == kept
