@@ -15,11 +15,12 @@ position is reached by one state at most, and a trie of the labels gives the arc
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame
 from .store import documents
 
 END = "</w>"
-#: Words that a task remembers with their encodings, and the longest of them.
-MOST_WORDS, LONGEST_WORD = 120_000, 64
+#: Words that a task remembers with their encodings (two generations of so many), and the longest of them.
+MOST_WORDS, LONGEST_WORD = 200_000, 64
+#: Pairs of neighbouring arcs that a task remembers as allowed or not.
+MOST_PAIRS = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -51,7 +54,8 @@ class Automaton:
     right: list[int]
     made: list[int]
     cut: dict[int, int] = field(default_factory=dict)  # a << 20 | b -> merge
-    trie: dict = field(default_factory=dict)  # symbol -> node; -1 -> token
+    trie: dict = field(default_factory=dict)  # symbol -> [token or None, the same of what follows]
+    pairs: dict[int, bool] = field(default_factory=dict)  # a << 20 | b -> allows(a, b), once all merges are in
 
     def allows(self, a: int, b: int) -> bool:
         """Does the state that a's arcs lead to have an arc b?"""
@@ -71,15 +75,22 @@ class Automaton:
             else:
                 return True
 
+    def remember(self, a: int, b: int) -> bool:
+        """allows(a, b), kept for the next word; few pairs make up most words."""
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        out = self.pairs[a << 20 | b] = self.allows(a, b)
+        return out
+
     def matches(self, symbols: list[int], i: int) -> list[tuple[int, int]]:
         """(end, token) of the labels that stand at i, shortest first."""
-        node, out, end = self.trie, [], i
+        follow, out, end = self.trie, [], i
         for s in symbols[i:]:
-            node = node.get(s)
+            node = follow.get(s)
             if node is None:
                 break
             end += 1
-            token = node.get(-1)
+            token, follow = node
             if token is not None:
                 out.append((end, token))
         return out
@@ -90,7 +101,7 @@ class Automaton:
         Tries the longest arc first. A position from which no arc goes on is off the word's only path and not tried again.
         """
         n, i, last = len(symbols), 0, -1
-        allows, matches = self.allows, self.matches
+        pairs, matches = self.pairs, self.matches
         stack: list[tuple[int, int, list[tuple[int, int]]]] = []
         out: list[int] = []
         dead: set[int] = set()
@@ -98,7 +109,14 @@ class Automaton:
         while True:
             while todo:
                 j, token = todo.pop()
-                if j not in dead and (last < 0 or allows(last, token)):
+                if j in dead:
+                    continue
+                if last < 0:
+                    break
+                ok = pairs.get(last << 20 | token)
+                if ok is None:
+                    ok = self.remember(last, token)
+                if ok:
                     break
             else:
                 dead.add(i)
@@ -131,10 +149,11 @@ def compile_merges(vocabulary: dict[str, int], merges: list[tuple[str, str]]) ->
         a.cut[left << 20 | right] = m
     for token, spelling in spelled.items():
         if a.made[token] >= 0:
-            node = a.trie
+            follow = a.trie
             for s in spelling:
-                node = node.setdefault(s, {})
-            node[-1] = token
+                node = follow.setdefault(s, [None, {}])
+                follow = node[1]
+            node[0] = token
     return a
 
 
@@ -162,6 +181,7 @@ _CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
 _OTHER = "\ue000"
 
 
+@functools.lru_cache(1 << 16)
 def _unknown(c: str) -> bool:
     return unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16)
 
@@ -202,42 +222,47 @@ class Tokenizer:
         symbols[-1] += 256
         return array("I", self.automaton.encode(symbols)).tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        """The same for a run without white space, which no word crosses. Two generations are remembered."""
-        out = self.older.get(chunk)
-        if out is None:
-            if _unassigned(chunk):
-                plain = "".join(_OTHER if _unknown(c) else c for c in chunk)
-                words = [chunk[m.start() : m.end()] for m in self.pattern.finditer(plain)]
-            else:
-                words = self.pattern.findall(chunk)
-            if len(words) == 1:
-                out = self.word(words[0])
-            else:
-                out = b"".join([self.words.get(w) or self.word(w) for w in words])
-        if len(chunk) <= LONGEST_WORD:
+    def remember(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST_WORD:
             if len(self.words) >= MOST_WORDS:
                 self.older, self.words = self.words, {}
-            self.words[chunk] = out
-        return out
+            self.words[word] = ids
+        return ids
+
+    def chunk(self, chunk: str) -> bytes:
+        """The same for a run without white space, which no word crosses. Chunks and the words in them are remembered."""
+        words, older = self.words, self.older
+        out = words.get(chunk)
+        if out is not None:
+            return out
+        out = older.get(chunk)
+        if out is not None:
+            return self.remember(chunk, out)
+        if _unassigned(chunk):
+            plain = "".join(_OTHER if _unknown(c) else c for c in chunk)
+            split = [chunk[m.start() : m.end()] for m in self.pattern.finditer(plain)]
+        else:
+            split = self.pattern.findall(chunk)
+        if len(split) == 1:
+            return self.remember(chunk, self.word(split[0]))
+        return self.remember(chunk, b"".join([words.get(w) or older.get(w) or self.remember(w, self.word(w)) for w in split]))
 
     def pieces(self, text: str) -> Iterator[bytes]:
-        """The ids of a text's words, each as bytes."""
+        """The ids of a text, by special token and run between them, as bytes."""
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
                 yield self.special[part].to_bytes(4, "little")
             elif part:
                 part = self.normal(part)
                 # split() also parts at 1C-1F, which are not white space here
-                for c in part.split() if not _CONTROL.search(part) else regex.split(f"[{_SPACE}]+", part):
-                    found = self.words.get(c) or (self.chunk(c) if c else None)
-                    if found:
-                        yield found
+                chunks = part.split() if not _CONTROL.search(part) else [c for c in regex.split(f"[{_SPACE}]+", part) if c]
+                found = list(map(self.words.get, chunks))
+                yield b"".join([x or self.chunk(c) for x, c in zip(found, chunks, strict=True)])
 
     def encode(self, text: str) -> list[int]:
         return ids_of(b"".join(self.pieces(text)))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Arc labels, joined by spaces as a tokenizer without a decoder does; unknown ids are left out."""
         names = self.names
         try:
@@ -246,11 +271,17 @@ class Tokenizer:
             return " ".join(names[i] for i in ids if 0 <= i < len(names) and names[i] is not None)
 
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of the ids and of the text they decode to."""
+        ids = b"".join(self.pieces(text))
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.decode(array("I", ids)).encode("utf-8")).hexdigest()
+
+
 def ids_of(data: bytes) -> list[int]:
     return array("I", data).tolist()
 
 
-def _rows(docs: DataFrame, path: str, schema: str, make) -> DataFrame:
+def _rows(docs: DataFrame, path: str, schema: str, make: Callable[[Tokenizer, str], tuple]) -> DataFrame:
     def run(batches):
         t = Tokenizer(path)  # for this task: a worker serves other stages as well
         for batch in batches:
@@ -277,9 +308,4 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     Empty and white-space texts have no tokens. The digests are of the whole sequences, so nothing of a text's size leaves a task.
     """
-
-    def make(t: Tokenizer, text: str) -> tuple[int, str, str]:
-        ids = b"".join(t.pieces(text))
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids_of(ids)).encode("utf-8")).hexdigest()
-
-    return _rows(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _rows(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", Tokenizer.digests)

@@ -1,5 +1,6 @@
 """Parts that need no Spark, against plain versions."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -104,6 +105,32 @@ def test_bpe_any_text(tokenizers, x):
     assert mine.encode(x) == ids and mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_encodes_a_word_once(tokenizers, monkeypatch):
+    mine, library = bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json")), tokenizers[1]
+    encoded, asked = [], []
+    word, allows = mine.word, mine.automaton.allows
+    monkeypatch.setattr(mine, "word", lambda w: encoded.append(w) or word(w))
+    monkeypatch.setattr(mine.automaton, "allows", lambda a, b: asked.append((a, b)) or allows(a, b))
+    text = "keitpfge, keitpfge. (keitpfge) keitpfge"
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert mine.encode(text) == ids and mine.encode(text) == ids
+    assert encoded.count("keitpfge") == 1
+    mine.encode("xkeitpfge keitpfgey ykeitpfge")
+    assert len(asked) == len(set(asked))
+
+
+def test_bpe_small_memories(tokenizers, monkeypatch):
+    """Words and pairs that are forgotten are encoded anew; digests are those of the library."""
+    monkeypatch.setattr(bpe, "MOST_WORDS", 3)
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 2)
+    mine, library = bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json")), tokenizers[1]
+    for text in [*ODD, " ".join(ODD), "keitpfge, foranblest keitpfge. erininges foranblest! keitpfge erininges?" * 3]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        hashed = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False).encode())]
+        assert mine.digests(text) == (len(ids), *hashed)
+        assert max(len(mine.words), len(mine.older)) <= 3 and len(mine.automaton.pairs) <= 2
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_best_run(pattern, run):
